@@ -47,3 +47,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in sorted(globals().items(), key=lambda x: (len(x[0].split("_")[0]), x[0])) if k.startswith("op") and k[2].isdigit()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
