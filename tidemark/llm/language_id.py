@@ -225,6 +225,21 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_langu
     return out
 
 
+def _predictions(scorer: _Scorer, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(language, score, cross-entropy, rejected) of each row."""
+    m = scorer.model
+    best, mark, h0, bad = np.full(w.rows, len(m.languages)), np.zeros(w.rows), np.full(w.rows, np.nan), np.ones(w.rows, dtype=bool)
+    if m.languages:
+        sums, used = scorer.texts(w)
+        on = np.flatnonzero(used)
+        h = -sums[on] / used[on, None]
+        best[on], h0[on] = h.argmin(1), h.min(1)
+        gap = np.sort(h, axis=1)[:, 1] - h.min(1) if h.shape[1] > 1 else np.full(len(on), 9.0)
+        mark[on] = 1 / (1 + np.exp(-np.minimum(m.slope * gap * np.sqrt(used[on]), 50)))
+        bad[on] = h0[on] > m.limits[best[on]] * (1 + 3 / np.sqrt(used[on]))
+    return np.array([*m.languages, UNDECIDED], dtype=object)[best], mark, h0, bad
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, cross_entropy, rejected for every row.
 
@@ -233,30 +248,31 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     columns are not read, and an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    own: list[_Scorer] = []
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        scorer = own[0] if own else own.append(_Scorer(m)) or own[0]
-        names = np.array([*m.languages, UNDECIDED], dtype=object)
+        scorer = _Scorer(shared.value)
         for b in batches:
             for a, w in slices(b.column(1), SLICE_BYTES):
-                best, mark, h0 = np.full(w.rows, len(m.languages)), np.zeros(w.rows), np.full(w.rows, np.nan)
-                bad = np.ones(w.rows, dtype=bool)
-                if m.languages:
-                    sums, used = scorer.texts(w)
-                    on = np.flatnonzero(used)
-                    h = -sums[on] / used[on, None]
-                    best[on], h0[on] = h.argmin(1), h.min(1)
-                    gap = np.sort(h, axis=1)[:, 1] - h.min(1) if h.shape[1] > 1 else np.full(len(on), 9.0)
-                    mark[on] = 1 / (1 + np.exp(-np.minimum(m.slope * gap * np.sqrt(used[on]), 50)))
-                    bad[on] = h0[on] > m.limits[best[on]] * (1 + 3 / np.sqrt(used[on]))
-                ids = b.column(0).slice(a, w.rows)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(names[best], pa.string()), pa.array(mark), pa.array(h0, from_pandas=True), pa.array(bad)], ["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
+                names, mark, h0, bad = _predictions(scorer, w)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, w.rows), pa.array(names, pa.string()), pa.array(mark), pa.array(h0, from_pandas=True), pa.array(bad)], ["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(score, "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that the model doesn't reject; nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(shared.value)
+        for b in batches:
+            for a, w in slices(b.column(place), SLICE_BYTES):
+                yield b.slice(a, w.rows).filter(pa.array(~_predictions(scorer, w)[3]))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Learn from four fifths of the rows with a language, predict all; adds held_out to `identify`'s columns.
 
