@@ -118,7 +118,7 @@ def answer(sent: DataFrame, first: bool = False) -> DataFrame:
             order = np.lexsort((chunk, ids, more, h))
             same = np.append(False, (h[order][1:] == h[order][:-1]) & (more[order][1:] == more[order][:-1]))
         else:
-            order = np.argsort(h, kind="stable")
+            order = np.argsort(h)
             twin = h[order][1:] == h[order][:-1]
             same = np.append(False, twin) | np.append(twin, False)
         bit = np.zeros(len(h), dtype=bool)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import chunks as C
-from .words import Words
+from .words import Words, distinct
 
 LENGTH, DOUBLINGS = 20, 1
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -79,7 +79,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, doublings: int = DOUBL
             at, keys = _candidates(w, h, lengths[level], alive)
             keep = np.packbits(alive).tobytes() if alive is not None else b""
             if not last:
-                return C.sent_table(C.send(number, level, np.unique(keys >> np.uint64(64 - bits) << np.uint64(64 - bits)), parts, bits, keep=keep))
+                return C.sent_table(C.send(number, level, distinct(keys >> np.uint64(64 - bits) << np.uint64(64 - bits)), parts, bits, keep=keep))
             second = _second(w, at, lengths[level])
             keys, second, first, _, _ = _distinct(keys, second)
             return C.sent_table(C.send(number, level, keys, parts, 64, second, order_ids[w.row[at[first]]], keep))

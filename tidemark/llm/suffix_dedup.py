@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import chunks as C
 from .runtime import materialise
-from .words import Words
+from .words import Words, distinct
 
 #: A run of LENGTH words holds LENGTH - SEED + 1 seeds, the least of which is a minimiser.
 LENGTH, SEED = 50, 30
@@ -33,7 +33,7 @@ def minimisers(w: Words, hashes: np.ndarray, seed: int, window: int) -> tuple[np
         return at[:0], h[:0]
     inside = np.flatnonzero((w.row[at[: len(at) - window + 1]] == w.row[at[window - 1 :]]))
     least = np.lib.stride_tricks.sliding_window_view(h, window).argmin(axis=1)[inside]
-    chosen = np.unique(inside + least)
+    chosen = distinct(inside + least)
     return at[chosen], h[chosen]
 
 
@@ -77,7 +77,7 @@ def suffixes(docs: DataFrame, length: int, seed: int, id_col: str, text_col: str
     def begin(row: pa.Table, _: pa.Table | None) -> pa.Table:
         number, _, _, w = C.open_chunk(row)
         keys = minimisers(w, w.hashes(), seed, window)[1]
-        return C.sent_table(C.send(number, 0, np.unique(keys >> np.uint64(64 - bits) << np.uint64(64 - bits)), parts, bits))
+        return C.sent_table(C.send(number, 0, distinct(keys >> np.uint64(64 - bits) << np.uint64(64 - bits)), parts, bits))
 
     def repeated(row: pa.Table, answers: pa.Table) -> pa.Table:
         _, ids, _, w = C.open_chunk(row)
