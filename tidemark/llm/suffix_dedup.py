@@ -66,7 +66,7 @@ def compare(key: np.ndarray, after: np.ndarray, before: np.ndarray, doc: np.ndar
         total[on] = right + left + seed
         best["left"][on], best["right"][on], best["other"][on] = left, right, doc[near]
     hit = np.flatnonzero(total >= length)
-    return {"doc_id": doc[hit], "start": pos[hit] - best["left"][hit], "stop": pos[hit] + seed + best["right"][hit], "other": best["other"][hit]}
+    return {"doc_id": doc[hit], "start": pos[hit] - best["left"][hit], "stop": pos[hit] + seed + best["right"][hit], "other": best["other"][hit], "row": hit}
 
 
 def suffixes(docs: DataFrame, length: int, seed: int, id_col: str, text_col: str, chunk_bytes: int) -> tuple[DataFrame, int]:
@@ -135,13 +135,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_c
     told = materialise(ranged.mapInArrow(neighbours, FOUND))
 
     def across(table: pa.Table) -> pa.Table:
-        t = table.sort_by([(c, "ascending") for c in ("key", "after", "before", "doc", "pos")])
+        t = table.sort_by([(c, "ascending") for c in ("key", "after", "before", "doc")])
         wide = [np.frombuffer(b"".join(t.column(c).to_pylist()), dtype=">u4").reshape(len(t), -1) for c in ("after", "before")]
-        hits = compare(t.column("key").to_numpy(), *wide, t.column("doc").to_numpy(), t.column("pos").to_numpy(), seed, length)
-        return pa.table({c: pa.array(hits[c], k) for c, k in (("doc_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("other", pa.int64()))})
-
-    # Edges that can match share a seed, so they meet by key; a partition sends two runs, whatever the size.
-    edges = told.filter("doc_id is null and key is not null").select("key", "after", "before", "doc", "pos").groupBy("key").applyInArrow(across, "doc_id long, start int, stop int, other long")
+        hits = compare(t.column("key").to_numpy(), *wide, t.column("doc").to_numpy(), np.zeros(len(t), dtype=np.int64), seed, length)
+        found = t.select(["key", "after", "before", "doc"]).take(pa.array(hits["row"]))
+        return found.append_column("from", pa.array(hits["start"], pa.int32())).append_column("to", pa.array(hits["stop"], pa.int32())).append_column("other", pa.array(hits["other"], pa.int64()))
+
+    # Edges that can match share a seed, so they meet by key.  A partition sends two documents' runs, and
+    # what a document repeats word for word meets once and is told for all its places.
+    same = ["key", "after", "before", "doc"]
+    edges = told.filter("key is not null").select(*same, "pos")
+    met = edges.select(*same).distinct().groupBy("key").applyInArrow(across, "key long, after binary, before binary, doc long, from int, to int, other long")
+    edges = edges.join(met, same).select(F.col("doc").alias("doc_id"), (F.col("pos") + F.col("from")).alias("start"), (F.col("pos") + F.col("to")).alias("stop"), "other")
     spans = told.filter("key is null").select("doc_id", "start", "stop", "other").unionByName(edges)
     by = Window.partitionBy("doc_id").orderBy("start", "stop")
     reach = F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1))
