@@ -79,9 +79,9 @@ def differing(docs: DataFrame, state: DataFrame, total: int, id_col: str, text_c
     rows = rows.join(F.broadcast(heavy), "digest", "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("_n")).cast("int"), F.lit(0)))
     w = Window.partitionBy("digest", "_salt").orderBy("doc_id")
     checked = rows.select("digest", "_norm", (F.col("_norm") != F.lag("_norm").over(w)).alias("differs"), F.lag("_norm").over(w).isNull().alias("first"), F.col("_n").isNotNull().alias("heavy")).filter("differs or (first and heavy)")
-    within = checked.filter("differs").select("digest")
-    across = checked.filter("first and heavy").groupBy("digest").agg(F.min("_norm").alias("a"), F.max("_norm").alias("b")).filter("a != b").select("digest")
-    return within.union(across).distinct()
+    heads = F.when(F.col("first") & F.col("heavy"), F.col("_norm"))
+    told = checked.groupBy("digest").agg(F.max("differs").alias("d"), F.min(heads).alias("a"), F.max(heads).alias("b"))
+    return told.filter("d or a != b").select("digest")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 256, files_per_batch: int | None = None) -> DataFrame:
