@@ -149,10 +149,8 @@ def shingle_sets(docs: DataFrame, size: int, weighted: bool) -> DataFrame:
     return docs.mapInArrow(sets, "doc_id long, items array<long>")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, size: int, weighted: bool) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, sim: exact similarity of the pairs (a, b)."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = materialise(shingle_sets(texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), size, weighted))
     left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -180,7 +178,10 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SH
     pivots = ranked.groupBy("band").agg(F.max(F.struct("degree", (-F.col("rep")).alias("i"))).alias("p")).select("band", (-F.col("p.i")).alias("pivot"))
     placed = materialise(members.join(pivots, "band").select("band", "rep", "pivot"))
     pairs = placed.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    scored = materialise(_verify(pairs, narrow, size, weighted))
+    # The sets of all that share a bucket are made once; later rounds need no texts.
+    ids = placed.select(F.col("rep").alias("doc_id")).distinct()
+    sets = materialise(shingle_sets(narrow.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), size, weighted))
+    scored = materialise(_verify(pairs, sets))
     links = scored.filter(F.col("sim") >= similarity).select(F.col("a").alias("u"), F.col("b").alias("v"))
     labels = components(links)
     # Members of one bucket in different classes: all that the pivot's distances leave possible.
@@ -195,7 +196,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SH
     tried = scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = materialise(more.join(tried, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        found = _verify(more, narrow, size, weighted).filter(F.col("sim") >= similarity)
+        found = _verify(more, sets).filter(F.col("sim") >= similarity)
         labels = components(links.unionByName(found.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     total = signed.count()
     classes = folded.join(labels, F.col("rep") == F.col("node"), "left").select("text_key", "copies", F.coalesce("label", "rep").alias("class_id"))
