@@ -7,7 +7,7 @@ coordinate with the probability of their weighted Jaccard similarity.
 
 Copies are first folded into one representative.  Representatives that share a band are compared with
 the band's pivot, the one with most companions; those of one bucket that end up in different classes
-are then compared with one another, unless the distances to the pivot already keep them apart.
+are then compared if they share one of their rarest shingles, which no two similar ones fail to do.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from .words import Words, mix64, slices
 SHINGLE, SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 25, 5
 #: Rank cells are [0, FIRST), [FIRST, 2 FIRST), [2 FIRST, 4 FIRST), ...
 FIRST = 2.0**-7
+HISTOGRAM = 1 << 16
 
 
 @cache
@@ -157,6 +158,32 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("sim"))
 
 
+def rare_heads(sets: DataFrame, similarity: float) -> DataFrame:
+    """doc_id, label, n, item: of every set the items that come first when rare ones do, as many as it
+    takes that two sets of the wanted similarity can't do without a common one.
+
+    Rarity is read off a histogram of HISTOGRAM cells, whatever the number of sets; any order would
+    give the same links, a rough one only more candidates.
+    """
+    cell = F.pmod(F.col("item"), F.lit(HISTOGRAM)).cast("int").alias("cell")
+    counts = np.zeros(HISTOGRAM, dtype=np.int64)
+    for r in sets.select(F.explode("items").alias("item")).groupBy(cell).count().collect():
+        counts[r["cell"]] = r["count"]
+
+    def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            items, n = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((items, counts[items % HISTOGRAM], row))
+            place = np.arange(len(items)) - np.repeat(np.cumsum(n) - n, n)
+            chosen = place < np.repeat(n - np.ceil((similarity - 1e-9) * n).astype(np.int64) + 1, n)
+            row, items = row[chosen], items[order][chosen]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(2).take(pa.array(row)), pa.array(n[row].astype(np.int32)), pa.array(items)], ["doc_id", "label", "n", "item"])
+
+    return sets.select("doc_id", "items", "label").mapInArrow(head, "doc_id long, label long, n int, item long")
+
+
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, band_rows: int = BAND_ROWS, weighted: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (the least doc_id of the class) for every row.
 
@@ -184,15 +211,15 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SH
     scored = materialise(_verify(pairs, sets))
     links = scored.filter(F.col("sim") >= similarity).select(F.col("a").alias("u"), F.col("b").alias("v"))
     labels = components(links)
-    # Members of one bucket in different classes: all that the pivot's distances leave possible.
-    far = 1.0 - similarity + 1e-9
-    apart = placed.join(labels, F.col("rep") == F.col("node"), "left").select("band", "rep", "pivot", F.coalesce("label", "rep").alias("label"))
+    # Members of one bucket in different classes may yet be linked: they meet by their rarest shingles.
+    apart = placed.join(labels, F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("label", "rep").alias("label"))
     mixed = apart.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
-    apart = apart.join(mixed, "band").join(scored.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), (1 - F.col("sim")).alias("d")), ["pivot", "rep"], "left").select("band", "rep", "pivot", "label", F.coalesce("d", F.lit(0.0)).alias("d"))
-    apart = materialise(apart.filter("rep <> pivot"))
-    x, y = apart.alias("x"), apart.alias("y")
-    more = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") < F.col("y.label")) & (F.abs(F.col("x.d") - F.col("y.d")) <= far))
-    more = more.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    apart = apart.join(mixed, "band").select(F.col("rep").alias("doc_id"), "label").distinct()
+    heads = materialise(rare_heads(materialise(sets.join(apart, "doc_id")), similarity))
+    x, y = heads.alias("x"), heads.alias("y")
+    sizes = F.least("x.n", "y.n") >= F.lit(similarity - 1e-9) * F.greatest("x.n", "y.n")
+    more = x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.label") < F.col("y.label")) & sizes)
+    more = more.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
     tried = scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = materialise(more.join(tried, ["a", "b"], "left_anti"))
     if not more.isEmpty():
