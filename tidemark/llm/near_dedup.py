@@ -155,11 +155,11 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("sim"))
+    return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("sim"))
 
 
 def rare_heads(sets: DataFrame, similarity: float) -> DataFrame:
-    """doc_id, label, n, item: of every set the items that come first when rare ones do, as many as it
+    """doc_id, label, n, place, item: of every set the items that come first when rare ones do, as many as it
     takes that two sets of the wanted similarity can't do without a common one.
 
     Rarity is read off a histogram of HISTOGRAM cells, whatever the number of sets; any order would
@@ -178,10 +178,10 @@ def rare_heads(sets: DataFrame, similarity: float) -> DataFrame:
             order = np.lexsort((items, counts[items % HISTOGRAM], row))
             place = np.arange(len(items)) - np.repeat(np.cumsum(n) - n, n)
             chosen = place < np.repeat(n - np.ceil((similarity - 1e-9) * n).astype(np.int64) + 1, n)
-            row, items = row[chosen], items[order][chosen]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(2).take(pa.array(row)), pa.array(n[row].astype(np.int32)), pa.array(items)], ["doc_id", "label", "n", "item"])
+            row, items, place = row[chosen], items[order][chosen], place[chosen]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(2).take(pa.array(row)), pa.array(n[row].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(items)], ["doc_id", "label", "n", "place", "item"])
 
-    return sets.select("doc_id", "items", "label").mapInArrow(head, "doc_id long, label long, n int, item long")
+    return sets.select("doc_id", "items", "label").mapInArrow(head, "doc_id long, label long, n int, place int, item long")
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, band_rows: int = BAND_ROWS, weighted: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,7 +207,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SH
     pairs = placed.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     # The sets of all that share a bucket are made once; later rounds need no texts.
     ids = placed.select(F.col("rep").alias("doc_id")).distinct()
-    sets = materialise(shingle_sets(narrow.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), size, weighted))
+    sets = materialise(shingle_sets(narrow.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), size, weighted))
     scored = materialise(_verify(pairs, sets))
     links = scored.filter(F.col("sim") >= similarity).select(F.col("a").alias("u"), F.col("b").alias("v"))
     labels = components(links)
@@ -218,7 +218,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SH
     heads = materialise(rare_heads(materialise(sets.join(apart, "doc_id")), similarity))
     x, y = heads.alias("x"), heads.alias("y")
     sizes = F.least("x.n", "y.n") >= F.lit(similarity - 1e-9) * F.greatest("x.n", "y.n")
-    more = x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.label") < F.col("y.label")) & sizes)
+    # If this is the first common item, at most what follows it in the shorter rest is common too.
+    rest = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= F.lit((similarity - 1e-9) / (1 + similarity)) * (F.col("x.n") + F.col("y.n"))
+    more = x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.label") < F.col("y.label")) & sizes & rest)
     more = more.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
     tried = scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = materialise(more.join(tried, ["a", "b"], "left_anti"))
