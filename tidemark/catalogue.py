@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import relational
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(relational.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(relational.SQL)
