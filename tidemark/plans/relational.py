@@ -161,9 +161,9 @@ def a10(t):
     return t("overlap_events").join(t("topics"), F.col("id") == F.col("community_id"), "left").groupBy("canonical_key").agg(F.least(F.min("detected_at"), F.coalesce(F.min("created_at"), F.min("detected_at"))).alias("first_at"))
 
 
-@query("a11_six_hour_buckets", "select topic_name, time_bucket(interval 6 hours, posted_at, TIMESTAMP '2000-01-01') as bucket, round(avg(like_count), 4) as heat, count(*) as n from posts where posted_at >= NOW - interval 168 hours group by 1, 2")
+@query("a11_six_hour_buckets", "select topic_name, time_bucket(interval 6 hours, posted_at, TIMESTAMP '2000-01-01') as bucket, round(avg(like_count), 7) as heat, count(*) as n from posts where posted_at >= NOW - interval 168 hours group by 1, 2")
 def a11(t):
-    return t("posts").filter(F.col("posted_at") >= ago(168)).groupBy("topic_name", F.window("posted_at", "6 hours").alias("w")).agg(F.round(F.avg("like_count"), 4).alias("heat"), F.count(F.lit(1)).alias("n")).select("topic_name", F.col("w.start").alias("bucket"), "heat", "n")
+    return t("posts").filter(F.col("posted_at") >= ago(168)).groupBy("topic_name", F.window("posted_at", "6 hours").alias("w")).agg(F.round(F.avg("like_count"), 7).alias("heat"), F.count(F.lit(1)).alias("n")).select("topic_name", F.col("w.start").alias("bucket"), "heat", "n")
 
 
 @query("a13_scalar_counts", "select (select count(*) from posts) as posts, (select count(*) from topics) as topics, (select count(*) from sources) as sources, (select count(*) from runs) as runs, (select count(*) from overlap_events) as overlaps")
