@@ -159,7 +159,7 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def rare_heads(sets: DataFrame, similarity: float) -> DataFrame:
-    """doc_id, label, n, place, item: of every set the items that come first when rare ones do, as many as it
+    """doc_id, label, hub, d, n, place, item: of every set the items that come first when rare ones do, as many as it
     takes that two sets of the wanted similarity can't do without a common one.
 
     Rarity is read off a histogram of HISTOGRAM cells, whatever the number of sets; any order would
@@ -179,9 +179,9 @@ def rare_heads(sets: DataFrame, similarity: float) -> DataFrame:
             place = np.arange(len(items)) - np.repeat(np.cumsum(n) - n, n)
             chosen = place < np.repeat(n - np.ceil((similarity - 1e-9) * n).astype(np.int64) + 1, n)
             row, items, place = row[chosen], items[order][chosen], place[chosen]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(2).take(pa.array(row)), pa.array(n[row].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(items)], ["doc_id", "label", "n", "place", "item"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(row)) for i in (0, 2, 3, 4)), pa.array(n[row].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(items)], ["doc_id", "label", "hub", "d", "n", "place", "item"])
 
-    return sets.select("doc_id", "items", "label").mapInArrow(head, "doc_id long, label long, n int, place int, item long")
+    return sets.select("doc_id", "items", "label", "hub", "d").mapInArrow(head, "doc_id long, label long, hub long, d double, n int, place int, item long")
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, band_rows: int = BAND_ROWS, weighted: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,12 +215,17 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SH
     apart = placed.join(labels, F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("label", "rep").alias("label"))
     mixed = apart.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
     apart = apart.join(mixed, "band").select(F.col("rep").alias("doc_id"), "label").distinct()
+    # Jaccard distance is a metric: two at distances more than 1 - similarity apart from one hub aren't linked.
+    hubs = scored.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    seen = scored.join(hubs, "a").groupBy(F.col("b").alias("doc_id")).agg(F.max(F.struct("n", "a", (1 - F.col("sim")).alias("d"))).alias("h"))
+    apart = apart.join(seen, "doc_id", "left").select("doc_id", "label", F.coalesce("h.a", "doc_id").alias("hub"), F.coalesce("h.d", F.lit(0.0)).alias("d"))
     heads = materialise(rare_heads(materialise(sets.join(apart, "doc_id")), similarity))
     x, y = heads.alias("x"), heads.alias("y")
     sizes = F.least("x.n", "y.n") >= F.lit(similarity - 1e-9) * F.greatest("x.n", "y.n")
     # If this is the first common item, at most what follows it in the shorter rest is common too.
     rest = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= F.lit((similarity - 1e-9) / (1 + similarity)) * (F.col("x.n") + F.col("y.n"))
-    more = x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.label") < F.col("y.label")) & sizes & rest)
+    near = (F.col("x.hub") != F.col("y.hub")) | (F.abs(F.col("x.d") - F.col("y.d")) <= 1 - similarity + 1e-9)
+    more = x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.label") < F.col("y.label")) & sizes & rest & near)
     more = more.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
     tried = scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = materialise(more.join(tried, ["a", "b"], "left_anti"))
