@@ -11,6 +11,7 @@ prediction reads every text whole, each distinct word being scored once for a ca
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -20,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .words import Words, mix64, slices
+from .words import Words, mix64, slices, worker_cache
 
 SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGES = 400, 3000, 200
 ORDER, UNKNOWN, UNDECIDED = 5, -14.0, "und"
-SLICE_BYTES, CACHE_NUMBERS = 6 << 20, 6_000_000
+SLICE_BYTES, CACHE_NUMBERS = 2 << 20, 2_400_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -248,9 +249,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     columns are not read, and an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    name = uuid.uuid4().hex
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(shared.value)
+        scorer = worker_cache(("scorer", name), lambda: _Scorer(shared.value))
         for b in batches:
             for a, w in slices(b.column(1), SLICE_BYTES):
                 names, mark, h0, bad = _predictions(scorer, w)
@@ -262,10 +264,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, that the model doesn't reject; nothing is shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    name = uuid.uuid4().hex
     place = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(shared.value)
+        scorer = worker_cache(("scorer", name), lambda: _Scorer(shared.value))
         for b in batches:
             for a, w in slices(b.column(place), SLICE_BYTES):
                 yield b.slice(a, w.rows).filter(pa.array(~_predictions(scorer, w)[3]))

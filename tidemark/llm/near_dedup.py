@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .runtime import materialise, salted_join
-from .words import Words, mix64, slices
+from .words import Words, mix64, slices, worker_cache
 
 SHINGLE, SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 25, 5
 #: Rank cells are [0, FIRST), [FIRST, 2 FIRST), [2 FIRST, 4 FIRST), ...
@@ -104,6 +104,7 @@ def signatures(docs: DataFrame, bands: int, band_rows: int, size: int, weighted:
     """doc_id, text_key (of the word sequence; null without words), bands."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("none", bool)
         for b in batches:
             for a, w in slices(b.column(1)):
                 row, key = shingles(w, size)
@@ -132,6 +133,7 @@ def shingle_sets(docs: DataFrame, size: int, weighted: bool) -> DataFrame:
     """doc_id, items: the sorted distinct shingles (with their occurrence numbers mixed in if weighted)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("none", bool)
         for b in batches:
             for a, w in slices(b.column(1)):
                 row, key = shingles(w, size)

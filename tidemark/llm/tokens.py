@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Words, slices
+from .words import Words, slices, worker_cache
 
 #: Bytes of text encoded at a time, and distinct chunks kept by a worker before it starts anew.
-SLICE_BYTES, CACHE_WORDS, JOINED = 6 << 20, 1_200_000, 200
+SLICE_BYTES, CACHE_WORDS, JOINED = 2 << 20, 600_000, 200
 
 
 class ChunkEncoder:
@@ -73,7 +73,6 @@ class ChunkEncoder:
         return self.flat[take], sums[words.first]
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
 #: Stands between chunks that are encoded in one call; chunks that hold it are encoded alone.
 MARK = "\x01"
 
@@ -107,10 +106,8 @@ def library_encode(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndar
 
 def encoder(path: str) -> ChunkEncoder:
     """This worker's encoder for a tokenizer file (white-space dropping vocabularies only)."""
-    if path not in _ENCODERS:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _ENCODERS[path] = ChunkEncoder(library_encode(path))
-    return _ENCODERS[path]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return worker_cache(("encoder", path), lambda: ChunkEncoder(library_encode(path)))
 
 
 def default_tokenizer() -> str:

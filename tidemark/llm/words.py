@@ -6,7 +6,7 @@ Every function works on whole texts; slices only bound the memory in use, never
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -118,7 +118,18 @@ class Words:
         return at, FAMILIES[family].spans(hashes, at, at + length)
 
 
-def slices(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, Words]]:
+_CACHE: dict = {}
+
+
+def worker_cache(key: object, make: Callable[[], object]) -> object:
+    """This worker's one cache: kept for the same key, and let go when work with another key begins."""
+    if key not in _CACHE:
+        _CACHE.clear()
+        _CACHE[key] = make()
+    return _CACHE[key]
+
+
+def slices(texts: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, Words]]:
     """(first row, Words) of byte-bounded row ranges of a column."""
     offsets, data = buffers(texts)
     for a, b in byte_slices(offsets, limit):
