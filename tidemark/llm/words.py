@@ -6,6 +6,7 @@ Every function works on whole texts; slices only bound the memory in use, never
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -66,7 +67,8 @@ FAMILIES = (_Family(11), _Family(23))
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Byte offsets (len + 1, from 0) and bytes of a string column; nulls become empty."""
-    texts = texts.cast(pa.large_string()).fill_null("")
+    texts = texts.cast(pa.large_string())
+    texts = texts.fill_null("") if texts.null_count else texts
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     _, offsets, data = texts.buffers()
@@ -119,6 +121,10 @@ class Words:
 
 
 _CACHE: dict = {}
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library: its allocator keeps its own counsel
+    _LIBC = None
 
 
 def worker_cache(key: object, make: Callable[[], object]) -> object:
@@ -134,3 +140,11 @@ def slices(texts: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, Words]]
     offsets, data = buffers(texts)
     for a, b in byte_slices(offsets, limit):
         yield a, Words(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])
+    give_back()
+
+
+def give_back() -> None:
+    """Hand freed memory to the system, which a long-lived worker's allocators otherwise keep."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
