@@ -108,6 +108,8 @@ class Model:
 def train(samples: dict[str, list[str]]) -> Model:
     """Model of the sampled texts of each language; every fifth text is held back to calibrate on."""
     languages = sorted(samples)
+    if not languages:
+        return Model([], np.zeros(0, dtype=np.uint64), np.zeros((0, 0)), np.zeros((0, 0)), 1.0, np.zeros(0))
     parts = [_counts([w for i, t in enumerate(samples[x]) if i % 5 or len(samples[x]) < 5 for w in t.split()]) for x in languages]
     union: list[dict] = []
     for n in range(1, ORDER + 1):
