@@ -49,7 +49,7 @@ def portal_boost(weight: Column) -> Column:
 
 
 def anomaly(value: Column, mean: Column, std: Column) -> Column:
-    return F.when(std > 0, F.round((value - mean) / std, 3))
+    return F.when(std > 0, F.round((value - mean) / std, 3) + 0.0)
 
 
 def display_heat(value: Column, most: Column) -> Column:

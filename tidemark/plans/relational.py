@@ -330,11 +330,11 @@ def f39(t):
     return hours_filled(p, "posted_at", ago(72), ago(0), [F.count(F.lit(1)).alias("n"), F.round(F.sum("like_count"), 2).alias("likes")], ["n"])
 
 
-@query("k01_upsert_posts", "select coalesce(n.id, o.id) as id, case when n.id is null then o.like_count else n.like_count end as like_count, case when n.id is null then o.comment_count else coalesce(n.comment_count, o.comment_count) end as comment_count from (select id, like_count, comment_count from posts where id % 10 < 8) o full join (select id, like_count + 1 as like_count, nullif(comment_count, 5) as comment_count from posts where id % 10 > 6) n on o.id = n.id")
+@query("k01_upsert_posts", "select coalesce(n.id, o.id) as id, case when n.id is null then o.like_count else n.like_count end as like_count, case when n.id is null then o.comment_count else coalesce(n.comment_count, o.comment_count) end as comment_count from (select id, like_count, comment_count from posts where topic_name <> 'signup') o full join (select id, like_count + 1 as like_count, nullif(comment_count, 5) as comment_count from posts where topic_name in ('signup', 'view')) n on o.id = n.id")
 def k01(t):
-    p = t("posts").select("id", "like_count", "comment_count")
-    new = p.filter("id % 10 > 6").select("id", (F.col("like_count") + 1).alias("like_count"), F.nullif(F.col("comment_count"), F.lit(5)).alias("comment_count"))
-    return upsert(p.filter("id % 10 < 8"), new, ["id"], ["comment_count"])
+    p = t("posts").select("id", "like_count", "comment_count", "topic_name")
+    new = p.filter("topic_name in ('signup', 'view')").select("id", (F.col("like_count") + 1).alias("like_count"), F.nullif(F.col("comment_count"), F.lit(5)).alias("comment_count"))
+    return upsert(p.filter("topic_name <> 'signup'").drop("topic_name"), new, ["id"], ["comment_count"])
 
 
 @query("k14_append_new", "select community_id, news_id from overlap_events where cosine >= 0.5 and not exists (select 1 from overlap_events o where o.cosine < 0.6 and o.community_id = overlap_events.community_id and o.news_id = overlap_events.news_id)")
