@@ -67,9 +67,9 @@ def t09(t):
     return K.pick_keywords(doc_scores(t), "lang", least_df=F.lit(2))
 
 
-@query("j12_near_vectors", "select a.vec_id as key_l, b.vec_id as key_r, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 4) as cosine from embeddings a join embeddings b on a.vec_id < b.vec_id where round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) >= 0.4")
+@query("j12_near_vectors", "select a.vec_id as key_l, b.vec_id as key_r, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as cosine from embeddings a join embeddings b on a.vec_id < b.vec_id where round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) >= 0.4")
 def j12(t):
-    return S.near_vectors(t("embeddings"), "vec_id", "embedding", 0.4).withColumn("cosine", F.round("cosine", 4))
+    return S.near_vectors(t("embeddings"), "vec_id", "embedding", 0.4)
 
 
 @query("j12_token_similarity", "with n as (select item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{7,}')) as a, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,6}')) as k, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) as w from benchmark), p as (select l.item_id as key_l, r.item_id as key_r, len(list_intersect(l.w, r.w)) as s, len(l.w) + len(r.w) as lw, len(list_intersect(l.k, r.k)) as ks, len(l.k) + len(r.k) as lk, len(list_intersect(l.a, r.a)) as ns, len(l.a) + len(r.a) as ln from n l join n r on l.item_id < r.item_id) select key_l, key_r, s as shared, round((0.45 * s / (lw - s) + coalesce(0.35 * ks / nullif(lk - ks, 0), 0) + coalesce(0.2 * 2 * ns / nullif(ln, 0), 0)) * case when s < 2 then 0.4 else 1 end, 4) as score from p where s >= 1")
