@@ -22,3 +22,12 @@ def duck():
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_query(spark, duck, name):
     assert compare(spark, catalogue.queries()[name], catalogue.oracle_sql()[name], SF, duck) == ""
+
+
+def test_entry_imports_without_a_session():
+    """A driver reads the names of all queries before there is any session."""
+    import subprocess
+
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    done = subprocess.run([sys.executable, "-B", "-c", code], cwd=Path(__file__).parents[1], capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr

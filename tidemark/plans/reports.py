@@ -10,11 +10,9 @@ from ..operators.keyed import distinct_on, or_else, top_per_key
 from .domain import ORDERS_AS_OF
 from .relational import ago, query
 
-ONE = F.lit(1)
-
 
 def _n(name: str = "n"):  # noqa: ANN202
-    return F.count(ONE).alias(name)
+    return F.count(F.lit(1)).alias(name)
 
 
 @query("s02_ranking_scan", "select id, rank, created_at from topics where region_id = 'EUROPE' and created_at >= THEN_ - interval 720 hours order by created_at desc, rank, id limit 300")
@@ -183,10 +181,10 @@ def a39(t):
 
 @query("a42_health_summary", "select count(*) as sources, count(*) filter (is_core) as core, count(*) filter (n > 0) as seen, count(*) filter (rate >= 70) as healthy, round(100.0 * count(*) filter (n > 0) / count(*), 1) as coverage from (select s.id, s.is_core, count(r.id) as n, 100.0 * count(r.id) filter (r.status = 'success') / nullif(count(r.id), 0) as rate from sources s left join runs r on r.source_id = s.id group by 1, 2)")
 def a42(t):
-    r = t("runs").groupBy(F.col("source_id").alias("id")).agg(_n(), (100.0 * F.count_if(F.col("status") == "success") / F.count(ONE)).alias("rate"))
+    r = t("runs").groupBy(F.col("source_id").alias("id")).agg(_n(), (100.0 * F.count_if(F.col("status") == "success") / F.count(F.lit(1))).alias("rate"))
     x = t("sources").select("id", "is_core").join(r, "id", "left")
     seen = F.count_if(F.col("n") > 0)
-    return x.agg(_n("sources"), F.count_if("is_core").alias("core"), seen.alias("seen"), F.count_if(F.col("rate") >= 70).alias("healthy"), scoring.coverage(seen, F.count(ONE)).alias("coverage"))
+    return x.agg(_n("sources"), F.count_if("is_core").alias("core"), seen.alias("seen"), F.count_if(F.col("rate") >= 70).alias("healthy"), scoring.coverage(seen, F.count(F.lit(1))).alias("coverage"))
 
 
 @query("a43_region_health", "select s.region_id, count(*) as sources, coalesce(cast(sum(n) as bigint), 0) as runs, round(coalesce(100.0 * sum(ok) / nullif(sum(n), 0), 0), 1) as rate from sources s left join (select source_id, count(*) as n, count(*) filter (status = 'success') as ok from runs group by 1) r on r.source_id = s.id group by 1")
@@ -217,7 +215,7 @@ def a47(t):
 @query("a49_dashboard_totals", "select round(sum(heat), 2) as heat, cast(sum(n) as bigint) as topics, round(sum(s * greatest(n, 1)) / sum(greatest(n, 1)), 4) as sentiment from (select region_id, sum(heat) as heat, count(*) as n, avg(sentiment) as s from topics group by 1)")
 def a49(t):
     r = t("topics").groupBy("region_id").agg(F.sum("heat").alias("heat"), _n(), F.avg("sentiment").alias("s"))
-    w = F.greatest(F.col("n"), ONE)
+    w = F.greatest(F.col("n"), F.lit(1))
     return r.agg(F.round(F.sum("heat"), 2).alias("heat"), F.sum("n").alias("topics"), F.round(F.sum(F.col("s") * w) / F.sum(w), 4).alias("sentiment"))
 
 
@@ -362,7 +360,7 @@ def f64(t):
 @query("k05_auto_disable", "select s.id, not coalesce(b.bad and s.is_core, false) as is_active from sources s left join (select source_id, count(*) = 3 and bool_and(status <> 'success') as bad from (select source_id, status, row_number() over (partition by source_id order by started_at desc, id desc) as r from runs) where r <= 3 group by 1) b on b.source_id = s.id")
 def k05(t):
     last = top_per_key(t("runs"), ["source_id"], [F.desc("started_at"), F.desc("id")], 3)
-    bad = last.groupBy(F.col("source_id").alias("id")).agg(((F.count(ONE) == 3) & F.bool_and(F.col("status") != "success")).alias("bad"))
+    bad = last.groupBy(F.col("source_id").alias("id")).agg(((F.count(F.lit(1)) == 3) & F.bool_and(F.col("status") != "success")).alias("bad"))
     return t("sources").join(bad, "id", "left").select("id", (~F.coalesce(F.col("bad") & F.col("is_core"), F.lit(False))).alias("is_active"))
 
 
