@@ -95,6 +95,22 @@ def test_suffix_dedup(docs, empty):
     assert suffix_dedup.repeated_spans(empty).count() == 0
 
 
+def test_suffix_dedup_of_overlapping_slices(spark):
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(160)]
+    texts = []
+    for _ in range(150):
+        a = r.randrange(100)
+        texts.append([f"x{r.random()}" for _ in range(r.randint(0, 30))] + base[a : a + r.randint(35, 75)] + [f"y{r.random()}" for _ in range(r.randint(0, 30))])
+    held = collections.defaultdict(set)
+    for i, w in enumerate(texts):
+        for p in range(len(w) - 49):
+            held[tuple(w[p : p + 50])].add(i)
+    want = {(i, j) for i, w in enumerate(texts) for p in range(len(w) - 49) if len(held[tuple(w[p : p + 50])]) > 1 for j in range(p, p + 50)}
+    got = suffix_dedup.repeated_spans(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string"), chunk_bytes=4000).collect()
+    assert {(g["doc_id"], j) for g in got for j in range(g["start_word"], g["end_word"])} == want
+
+
 @pytest.mark.parametrize("weighted", [False, True])
 def test_near_dedup(docs, empty, weighted):
     items = {}

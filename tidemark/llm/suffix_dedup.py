@@ -3,8 +3,9 @@
 Suffixes are kept only where a content-defined rule selects them: at the minimisers of SEED-word
 windows, so that texts that share a passage keep the same suffixes of it.  Suffixes whose seed
 repeats anywhere are sorted by what follows the seed; neighbours from different documents are
-compared and each match is extended to the right and to the left.  Spans that reach the wanted
-length are merged within each document.
+compared and each match is extended to the right and to the left.  An exact check follows where texts
+part near a seed: every run of the wanted length around it is looked for in the other documents of
+that seed.  Spans that reach the wanted length are merged within each document.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ from pyspark.sql import functions as F
 
 from . import chunks as C
 from .runtime import materialise
-from .words import Words, distinct
+from .words import Words, distinct, mix64
 
 #: A run of LENGTH words holds LENGTH - SEED + 1 seeds, the least of which is a minimiser.
 LENGTH, SEED = 50, 30
 SUFFIX = "key long, after binary, before binary, doc_id long, pos int"
-FOUND = "doc_id long, start int, stop int, other long, " + SUFFIX.replace("doc_id", "doc")
+#: Spans (without key), and for keys at a partition's ends the runs of LENGTH words that surround the seed (with key).
+FOUND = "doc_id long, start int, stop int, other long, key long, window long, lo long, hi long"
+NONE = -1
 
 
 def minimisers(w: Words, hashes: np.ndarray, seed: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,26 +50,50 @@ def contexts(w: Words, short: np.ndarray, at: np.ndarray, reach: int, seed: int)
     return out[0], out[1]
 
 
-def compare(key: np.ndarray, after: np.ndarray, before: np.ndarray, doc: np.ndarray, pos: np.ndarray, seed: int, length: int) -> dict[str, np.ndarray]:
-    """Matches of each sorted suffix with its nearest neighbours from other documents."""
+def compare(key: np.ndarray, after: np.ndarray, before: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words to the left, words to the right, other document) of each sorted suffix's longest match with
+    its nearest neighbours from other documents; -1 to the left where there is no match."""
     n = len(key)
     place = np.arange(n)
     new = np.append(True, doc[1:] != doc[:-1])[:n]
     first = np.maximum.accumulate(np.where(new, place, 0))
     last = np.append(np.flatnonzero(new)[1:], n)[np.cumsum(new) - 1] if n else place
-    best = {x: np.zeros(n, dtype=np.int64) for x in ("left", "right", "other")}
-    total = np.zeros(n, dtype=np.int64)
+    left, right, other = np.full(n, -1), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
     for j in (first - 1, last):
         on = np.flatnonzero((j >= 0) & (j < n))
         on = on[key[on] == key[j[on]]]
         near = j[on]
-        right, left = (np.cumprod((x[on] == x[near]) & (x[on] != 0), axis=1).sum(1) for x in (after, before))
-        better = right + left + seed > total[on]
-        on, near, right, left = on[better], near[better], right[better], left[better]
-        total[on] = right + left + seed
-        best["left"][on], best["right"][on], best["other"][on] = left, right, doc[near]
-    hit = np.flatnonzero(total >= length)
-    return {"doc_id": doc[hit], "start": pos[hit] - best["left"][hit], "stop": pos[hit] + seed + best["right"][hit], "other": best["other"][hit], "row": hit}
+        r, l = (np.cumprod((x[on] == x[near]) & (x[on] != 0), axis=1).sum(1) for x in (after, before))
+        better = r + l > left[on] + right[on]
+        on = on[better]
+        left[on], right[on], other[on] = l[better], r[better], doc[near[better]]
+    return left, right, other
+
+
+def prefixes(x: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Hash of `begin` and the first 0, 1, 2, ... words of each row."""
+    out = np.empty((len(x), x.shape[1] + 1), dtype=np.uint64)
+    out[:, 0] = begin
+    for i in range(x.shape[1]):
+        out[:, i + 1] = mix64(out[:, i] * np.uint64(0x9E3779B97F4A7C15) ^ x[:, i].astype(np.uint64))
+    return out
+
+
+def meetings(key: np.ndarray, after: np.ndarray, before: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For every r, of each run of words that reaches r words to the right of a seed and the rest to the
+    left: (r, suffixes, hash, least document, largest document with that run)."""
+    reach = after.shape[1]
+    right, left = prefixes(after, key.view(np.uint64)), prefixes(before, np.zeros(len(key), dtype=np.uint64))
+    room = (after != 0).sum(1), (before != 0).sum(1)
+    for r in range(reach + 1):
+        on = np.flatnonzero((room[0] >= r) & (room[1] >= reach - r))
+        h = mix64(right[on, r] ^ (left[on, reach - r] * np.uint64(0xD6E8FEB86659FD93)))
+        order = np.lexsort((doc[on], h))
+        on, h = on[order], h[order]
+        new = np.append(True, h[1:] != h[:-1])[: len(h)]
+        first = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        yield r, on, h, doc[on[first]][group], doc[on[np.append(first[1:], len(on))[: len(first)] - 1]][group]
 
 
 def suffixes(docs: DataFrame, length: int, seed: int, id_col: str, text_col: str, chunk_bytes: int) -> tuple[DataFrame, int]:
@@ -99,7 +126,7 @@ def suffixes(docs: DataFrame, length: int, seed: int, id_col: str, text_col: str
 def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
     """doc_id, start_word, end_word (exclusive), n_words, other_doc_id: passages that another document shares.
 
-    Passages of at least `length` words are found; none that is shorter is told.  Ends reach at most
+    All passages of at least `length` words are found; none that is shorter is told.  Ends reach at most
     length - seed words beyond the outermost selected suffix of a match, which covers the whole match.
     Words are compared by 32 bits beyond the 64-bit hash of the seed.  Rows of one id are one
     document, and so are the rows without an id (doc_id null).  Null, empty and short texts have no
@@ -108,7 +135,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_c
     spark = docs.sparkSession
     found, size = suffixes(docs, length, seed, id_col, text_col, chunk_bytes)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (16 << 20)))
-    order = ["key", "after", "before", "doc_id", "pos"]
+    order, reach = ["key", "after", "before", "doc_id", "pos"], length - seed
+    kinds = [(x.split()[0], pa.int32() if x.endswith("int") else pa.int64()) for x in FOUND.split(", ")]
+
+    def batch(cols: dict[str, np.ndarray]) -> pa.RecordBatch:
+        m = len(next(iter(cols.values())))
+        return pa.RecordBatch.from_arrays([pa.array(cols[c], k, mask=cols[c] == NONE if c == "start" else None) if c in cols else pa.nulls(m, k) for c, k in kinds], [c for c, _ in kinds])
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -116,37 +148,38 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_c
             return
         t = pa.Table.from_batches(got).combine_chunks()
         m = len(t)
-        wide = {c: np.frombuffer(b"".join(t.column(c).to_pylist()), dtype=">u4").reshape(m, -1) for c in ("after", "before")}
+        after, before = (np.frombuffer(b"".join(t.column(c).to_pylist()), dtype=">u4").reshape(m, -1) for c in ("after", "before"))
         key, doc, pos = (t.column(c).to_numpy() for c in ("key", "doc_id", "pos"))
-        hits = compare(key, wide["after"], wide["before"], doc, pos, seed, length)
-        # The first and last documents' runs may have their neighbours in the partitions beside this one.
-        run = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-        edge = np.unique(np.concatenate([np.arange(0, run[1] if len(run) > 1 else m), np.arange(run[-1], m)]))
-        k = len(hits["doc_id"])
-        for a, rows in ((k, None), (0, t.take(pa.array(edge)))):
-            cols = [pa.array(hits[c], kind) for c, kind in (("doc_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("other", pa.int64()))] if a else None
-            if rows is None and a:
-                yield pa.RecordBatch.from_arrays([*cols, *(pa.nulls(a, x) for x in (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32()))], [x.split()[0] for x in FOUND.split(", ")])
-            elif rows is not None:
-                e = len(rows)
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(e, x) for x in (pa.int64(), pa.int32(), pa.int32(), pa.int64())), *(rows.column(c).combine_chunks() for c in order[:3]), rows.column("doc_id").combine_chunks(), rows.column("pos").combine_chunks()], [x.split()[0] for x in FOUND.split(", ")])
-
-    ranged = found.repartitionByRange(n, *order).sortWithinPartitions(*order)
+        left, right, other = compare(key, after, before, doc)
+        hit = np.flatnonzero((left >= 0) & (left + right + seed >= length))
+        yield batch({"doc_id": doc[hit], "start": pos[hit] - left[hit], "stop": pos[hit] + seed + right[hit], "other": other[hit]})
+        # A neighbour that shares most may hide one that shares another part of what surrounds the seed.
+        whole = (left == reach) & (right == reach)
+        edge = (key == key[0]) | (key == key[-1])
+        at = np.cumsum(np.append(True, key[1:] != key[:-1])) - 1
+        on = np.flatnonzero((np.bincount(at[~whole], minlength=at[-1] + 1) > 0)[at] | edge)
+        shared, with_ = np.zeros((len(on), reach + 2), dtype=bool), np.zeros((len(on), reach + 1), dtype=np.int64)
+        for r, i, h, lo, hi in meetings(key[on], after[on], before[on], doc[on]):
+            shared[i, r] = (lo != hi) & ~whole[on[i]]
+            with_[i, r] = np.where(doc[on[i]] == lo, hi, lo)
+            # The first and last keys may go on in the partitions beside this one.
+            out = edge[on[i]]
+            i, h, lo, hi = i[out], h[out], lo[out], hi[out]
+            sent = (lo == hi) | np.append(True, h[1:] != h[:-1])[: len(h)]
+            i, h, lo, hi = i[sent], h[sent], lo[sent], hi[sent]
+            yield batch({"start": np.where(lo == hi, pos[on[i]].astype(np.int64) - (reach - r), NONE), "key": key[on[i]], "window": h.view(np.int64), "lo": lo, "hi": hi})
+        a = np.argwhere(shared & ~np.roll(shared, 1, axis=1))
+        b = np.argwhere(shared & ~np.roll(shared, -1, axis=1))[:, 1]
+        i = on[a[:, 0]]
+        yield batch({"doc_id": doc[i], "start": pos[i] - reach + a[:, 1], "stop": pos[i] + seed + b, "other": with_[a[:, 0], a[:, 1]]})
+
+    ranged = materialise(found).repartitionByRange(n, *order).sortWithinPartitions(*order)
     told = materialise(ranged.mapInArrow(neighbours, FOUND))
-
-    def across(table: pa.Table) -> pa.Table:
-        t = table.sort_by([(c, "ascending") for c in ("key", "after", "before", "doc")])
-        wide = [np.frombuffer(b"".join(t.column(c).to_pylist()), dtype=">u4").reshape(len(t), -1) for c in ("after", "before")]
-        hits = compare(t.column("key").to_numpy(), *wide, t.column("doc").to_numpy(), np.zeros(len(t), dtype=np.int64), seed, length)
-        found = t.select(["key", "after", "before", "doc"]).take(pa.array(hits["row"]))
-        return found.append_column("from", pa.array(hits["start"], pa.int32())).append_column("to", pa.array(hits["stop"], pa.int32())).append_column("other", pa.array(hits["other"], pa.int64()))
-
-    # Edges that can match share a seed, so they meet by key.  A partition sends two documents' runs, and
-    # what a document repeats word for word meets once and is told for all its places.
-    same = ["key", "after", "before", "doc"]
-    edges = told.filter("key is not null").select(*same, "pos")
-    met = edges.select(*same).distinct().groupBy("key").applyInArrow(across, "key long, after binary, before binary, doc long, from int, to int, other long")
-    edges = edges.join(met, same).select(F.col("doc").alias("doc_id"), (F.col("pos") + F.col("from")).alias("start"), (F.col("pos") + F.col("to")).alias("stop"), "other")
+    # A partition tells a run that several of its documents hold once, so none meets in great number.
+    edges = told.filter("key is not null")
+    met = edges.groupBy("key", "window").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).filter("least <> most")
+    edges = edges.filter("start is not null").join(met, ["key", "window"])
+    edges = edges.select(F.col("lo").alias("doc_id"), "start", (F.col("start") + length).alias("stop"), F.when(F.col("lo") == F.col("least"), F.col("most")).otherwise(F.col("least")).alias("other"))
     spans = told.filter("key is null").select("doc_id", "start", "stop", "other").unionByName(edges)
     by = Window.partitionBy("doc_id").orderBy("start", "stop")
     reach = F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1))
