@@ -5,7 +5,7 @@ languages' log probabilities and back-off weights side by side.  A text gets the
 lowest cross-entropy a character; the margin to the next gives a calibrated score, and a text whose
 cross-entropy lies far above what its language shows on held-back sample texts is rejected.
 
-Training reads a bounded sample (SAMPLE_DOCS texts a language, SAMPLE_CHARS characters of each);
+Training reads a bounded sample (SAMPLE_DOCS texts a language, SAMPLE_CHARS characters from a hashed place of each);
 prediction reads every text whole, each distinct word being scored once for a cache life.
 """
 
@@ -214,14 +214,16 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_langu
     """Texts to learn from, by language: those whose crc32 of the id leaves 1 to 4 when divided by 5.
 
     The choice is by a hash of the id, so it doesn't depend on order; at most `per_language` texts,
-    SAMPLE_CHARS characters each, of the LANGUAGES largest languages, reach the driver.
+    SAMPLE_CHARS characters each, of the LANGUAGES largest languages, reach the driver.  Where a longer
+    text is entered depends on the hash too, so that not only openings are learnt.
     """
     known = docs.select(F.col(id_col).cast("string").alias("i"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("t")).filter("lang is not null and t is not null and pmod(crc32(i), 5) != 0")
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
     drawn = known.join(F.broadcast(sizes), "lang").withColumn("h", F.xxhash64("i", F.lit(5)))
     drawn = drawn.filter(F.pmod("h", F.lit(1 << 30)) < F.col("n").cast("double") ** -1 * (1.5 * per_language + 50) * (1 << 30))
     w = Window.partitionBy("lang").orderBy("h", "i")
-    rows = drawn.select("lang", "h", "i", F.substring("t", 1, SAMPLE_CHARS).alias("t")).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_language).orderBy("lang", "r").collect()
+    place = F.pmod("h", F.greatest(F.length("t") - SAMPLE_CHARS + 1, F.lit(1)).cast("long")).cast("int")
+    rows = drawn.select("lang", "h", "i", F.substring("t", place + 1, F.lit(SAMPLE_CHARS)).alias("t")).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_language).orderBy("lang", "r").collect()
     out: dict[str, list[str]] = {}
     for r in rows:
         out.setdefault(r["lang"], []).append(r["t"])
