@@ -1,8 +1,9 @@
 """A training corpus from raw documents: language, exact and near copies, mix, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and is written as
-Parquet and read again before the next.  All but the last return the columns they got.  Rows without
-an id pass all stages; repeated rows of one id are one document from the second stage on.
+Parquet and read again before the next.  All but the last return the columns they got; mixing adds
+shard and place.  Rows without an id pass all stages; repeated rows of one id are one document from
+the second stage on.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them, dealt into shards and shuffled within each."""
     return take(docs)
 
 

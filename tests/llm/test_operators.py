@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, language_id, mixing, near_dedup, packing, pii, substring_dedup, suffix_dedup, tokens, topk
 
@@ -180,6 +181,49 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_deals_shards(spark, docs, empty, tmp_path, monkeypatch):
+    import corpus_pipeline
+    from tidemark.llm import queries
+
+    monkeypatch.setattr(mixing, "BLOCK", 2)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op3_mixing(spark, str(tmp_path)).collect()
+    assert len(got) == len(corpus()) and all(g["taken"] == g["size"] * len(g["shards"]) and len(g["places"]) == len(g["shards"]) for g in got)
+    want = sorted((g["doc_id"] or -1, s, p) for g in got for s, p in zip(g["shards"], g["places"], strict=True))
+    assert len({s for _, s, _ in want}) > 4 and {s for _, s, _ in want} <= set(range(16))
+    mixed = corpus_pipeline.mixture(spark, docs, str(tmp_path))
+    parts = [[tuple(r) for r in p] for p in mixed.select("doc_id", "shard", "place").rdd.glom().collect()]
+    assert sorted((d or -1, s, p) for part in parts for d, s, p in part) == want
+    assert all([r[1:] for r in part] == sorted(r[1:] for r in part) for part in parts)
+    # All copies of a block lie in one shard, and runs follow each other in the order of blocks.
+    _, sources = mixing.plan(docs)
+    n = {r["source"]: r["n_blocks"] for r in sources.collect()}
+    at = (F.col("number") * F.col("n_blocks") + mixing._block(7, F.col("number"))).alias("at")
+    held = collections.defaultdict(set)
+    for r in mixing._with_source(mixing.shard_mix(docs, shards=4), sources.select("source", "n_blocks")).select("source", "shard", at).collect():
+        held[r["source"], r["at"]].add(r["shard"])
+    assert max(n.values()) > 4 and all(len(x) == 1 for x in held.values())
+    for source in n:
+        run = [min(held[k]) for k in sorted(k for k in held if k[0] == source)]
+        assert run == sorted(run)
+    assert mixing.take(empty).count() == 0
+
+
+@pytest.mark.parametrize("group", [2, 1024])
+def test_split_quotas(spark, group):
+    quotas = [(0, 40), (1, 0), (2, 7), (3, 1), (4, 300), (5, 12), (6, 33)]
+    got = mixing.split_quotas(spark.createDataFrame(quotas, "rank int, blocks long"), 8, 7, group=group).collect()
+    assert len(got) == 8 * len(quotas)
+    for rank, blocks in quotas:
+        end = 0
+        for r in sorted((r for r in got if r["rank"] == rank), key=lambda r: r["shard"]):
+            assert r["first"] == end and r["blocks"] >= 0
+            end += r["blocks"]
+        assert end == blocks
+    held = [sum(r["blocks"] for r in got if r["shard"] == s) for s in range(8)]
+    assert sum(held) == 393 and max(held) - min(held) <= 1
+
+
 def test_tokens_and_packing(docs, empty):
     from tokenizers import Tokenizer
 

@@ -5,11 +5,14 @@ source's texts are dealt into random blocks anew for every pass over it; blocks
 taking them by number draws a random sample without replacement.  The last pass stops inside one
 block, whose texts are taken while they fit what is left of the source's quota.  A splitting tree then halves the shards again
 and again, each time drawing by the multivariate hypergeometric law how many of every source's drawn
-blocks go left, until every shard has its disjoint run of block numbers.
+blocks go left, until every shard has its disjoint run of block numbers.  Every copy goes to the shard
+that holds its block and gets a random place there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ from .runtime import materialise
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 #: Texts in a block, and blocks in a group of blocks; windows run over at most about so many rows.
 BLOCK, FAN = 512, 4096
+#: Sources whose quotas one row splits; shards; runs of places that a shard is written in.
+GROUP, SHARDS, SLICES = 1024, 16, 256
 
 
 def word_count(text: Column) -> Column:
@@ -45,55 +50,78 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: fl
     return s.withColumn("target", F.when(F.col("open").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("open") * F.col("weight")))).drop("turn", "level", "open", "cap")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once: Spark computes a column anew wherever a lambda names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _draw(u: Column, total: Column, good: Column, picks: Column) -> Column:
     """How many of `good` among `total` are hit by `picks` draws without replacement, from a uniform u.
 
-    Inverse of the hypergeometric law within 12 deviations of its mode: weights relative to the lower
-    end come from the ratio of neighbouring terms, in logarithms, and are then summed until u is met.
+    Inverse of the hypergeometric law within 12 deviations of its mode: weights relative to the mode's
+    come from the ratio of neighbouring terms, upwards from the mode and then downwards, and are summed
+    in that order until u's share of them all is met.  Two walks over the window, nothing stored.
     """
     all_ = F.greatest(total, F.lit(1))
     low, high = F.greatest(F.lit(0), picks - (total - good)), F.least(good, picks)
-    mode = F.floor((picks + 1.0) * (good + 1.0) / (total + 2.0)).cast("long")
-    sd = F.sqrt(picks * (good / all_) * (1.0 - good / all_) * ((total - picks) / F.greatest(total - 1.0, F.lit(1.0))))
-    a = F.greatest(low, mode - F.ceil(sd * 12.0 + 3.0)).cast("long")
-    b = F.least(high, mode + F.ceil(sd * 12.0 + 3.0)).cast("long")
+    mode = F.least(high, F.greatest(low, F.floor((picks + 1.0) * (good + 1.0) / (total + 2.0)).cast("long")))
+    reach = F.ceil(12.0 * F.sqrt(picks * (good / all_) * (1.0 - good / all_) * ((total - picks) / F.greatest(total - 1.0, F.lit(1.0)))) + 3.0).cast("long")
+    known = F.struct(*(c.cast("long").alias(n) for n, c in {"good": good, "picks": picks, "bad": total - good, "mode": mode, "a": F.greatest(low, mode - reach), "b": F.least(high, mode + reach)}.items()), u.alias("u"))
 
-    def step(s: Column, x: Column) -> Column:
-        up = F.log((good - x + 1.0) * (picks - x + 1.0)) - F.log(x * (total - good - picks + x))
-        here = F.when(x == a, F.lit(0.0)).otherwise(s["log"] + up)
-        return F.struct(here.alias("log"), F.array_append(s["logs"], here).alias("logs"))
+    def walk(v: Column, goal: Column | None) -> Column:
+        def step(s: Column, x: Column) -> Column:
+            up = (v["good"] - x + 1.0) * (v["picks"] - x + 1.0) / (x * (v["bad"] - v["picks"] + x))
+            down = (x + 1.0) * (v["bad"] - v["picks"] + x + 1.0) / ((v["good"] - x) * (v["picks"] - x))
+            w = F.when(x == v["mode"], F.lit(1.0)).when(x > v["mode"], s["w"] * up).when(x == v["mode"] - 1, down).otherwise(s["w"] * down)
+            met = F.lit(None).cast("long") if goal is None else F.coalesce(s["met"], F.when(s["sum"] + w >= goal, x))
+            return _let(F.struct(w.alias("w"), met.alias("met")), lambda n: F.struct(n["w"].alias("w"), (s["sum"] + n["w"]).alias("sum"), n["met"].alias("met")))
+
+        none = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("sum"), F.lit(None).cast("long").alias("met"))
+        below = F.when(v["mode"] > v["a"], F.sequence(v["mode"] - 1, v["a"], F.lit(-1).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+        return F.aggregate(F.concat(F.sequence(v["mode"], v["b"], F.lit(1).cast("long")), below), none, step)
 
-    none = F.struct(F.lit(0.0).alias("log"), F.array().cast("array<double>").alias("logs"))
-    logs = F.aggregate(F.sequence(a, b), none, step)["logs"]
-    terms = F.transform(logs, lambda l: F.exp(l - F.array_max(logs)))
-    mass = F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)
-    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
-    met = F.aggregate(terms, zero, lambda s, t: F.struct((s["sum"] + t).alias("sum"), (s["n"] + (s["sum"] + t < u * mass).cast("int")).alias("n")))["n"]
-    return F.when((total <= 0) | (a >= b), a).otherwise(F.least(a + met, b)).cast("long")
+    found = lambda v: F.when(v["a"] >= v["b"], v["a"]).otherwise(_let(walk(v, None)["sum"] * v["u"], lambda goal: F.coalesce(walk(v, goal)["met"], v["mode"])))
+    return _let(known, found)
 
 
-def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
+def split_quotas(quotas: DataFrame, shards: int, seed: int, group: int = GROUP) -> DataFrame:
     """shard, rank, first, blocks: the run of drawn blocks of every source that each shard holds.
 
-    quotas: one row a source (rank, blocks).  shards: a power of two.  One row a source moves down
-    the tree at a time, with what its node still has of draws and of blocks kept in windows.
+    quotas: one row a source (rank, blocks).  shards: a power of two.  The tree's state is one row a node
+    and source.  Sources are summed in groups of `group`, these again, until one group is left; a node's
+    draws then go down from sums to sources, so no row holds more than `group` of them.
     """
-    node = quotas.select(F.lit(0).alias("node"), "rank", F.lit(0).cast("long").alias("first"), F.col("blocks").cast("long").alias("blocks"))
-    node = node.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("rank", "first", "blocks"))).alias("parts"))
+    if shards < 1 or shards & (shards - 1):
+        raise ValueError("shards must be a power of two")
+    node = quotas.select(F.lit(0).cast("long").alias("node"), F.col("rank").cast("long").alias("rank"), F.lit(0).cast("long").alias("first"), F.col("blocks").cast("long").alias("blocks"))
+    most, levels = quotas.agg(F.max("rank")).first()[0] or 0, 1
+    while group**levels <= most:
+        levels += 1
     width = shards
     while width > 1:
-        total = F.aggregate("parts", F.lit(0).cast("long"), lambda s, p: s + p["blocks"])
-        start = F.struct(total.alias("left"), F.floor(total / 2 + F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(2)) * F.pmod(total, F.lit(2)) / 2).cast("long").alias("picks"), F.array().cast("array<bigint>").alias("taken"))
-
-        def deal(s: Column, p: Column) -> Column:
-            x = _draw(_unit(F.lit(seed), F.col("node"), p["rank"]), s["left"], p["blocks"], s["picks"])
-            return F.struct((s["left"] - p["blocks"]).alias("left"), (s["picks"] - x).alias("picks"), F.array_append(s["taken"], x).alias("taken"))
-
-        node = node.withColumn("taken", F.aggregate("parts", start, deal)["taken"])
-        halves = [F.zip_with("parts", "taken", lambda p, x: F.struct(p["rank"].alias("rank"), p["first"].alias("first"), x.alias("blocks"))), F.zip_with("parts", "taken", lambda p, x: F.struct(p["rank"].alias("rank"), (p["first"] + x).alias("first"), (p["blocks"] - x).alias("blocks")))]
-        node = node.select(F.posexplode(F.array(*halves)).alias("half", "p"), "node").select((F.col("node") * 2 + F.col("half")).alias("node"), F.col("p").alias("parts"))
+        sums = [node.withColumnRenamed("rank", "at")]
+        for _ in range(levels - 1):
+            sums.append(sums[-1].groupBy("node", F.floor(F.col("at") / group).alias("at")).agg(F.min("first").alias("first"), F.sum("blocks").alias("blocks")))
+        picks = None
+        for level in reversed(range(levels)):
+            parts = sums[level].groupBy("node", F.floor(F.col("at") / group).alias("up")).agg(F.array_sort(F.collect_list(F.struct("at", "first", "blocks"))).alias("parts"))
+            parts = parts.withColumn("total", F.aggregate("parts", F.lit(0).cast("long"), lambda s, p: s + p["blocks"]))
+            odd = F.pmod(F.col("total"), F.lit(2)) * F.pmod(F.xxhash64(F.lit(seed), F.lit(width), F.col("node")), F.lit(2))
+            parts = parts.withColumn("picks", F.expr("total div 2") + odd) if picks is None else parts.join(picks, ["node", "up"])
+            start = F.struct(F.col("total").alias("left"), F.col("picks").alias("picks"), F.array().cast("array<bigint>").alias("taken"))
+
+            def deal(s: Column, p: Column) -> Column:  # called within this round
+                x = _draw(_unit(F.lit(seed), F.lit(width), F.lit(level), F.col("node"), p["at"]), s["left"], p["blocks"], s["picks"])
+                return _let(x, lambda x: F.struct((s["left"] - p["blocks"]).alias("left"), (s["picks"] - x).alias("picks"), F.array_append(s["taken"], x).alias("taken")))
+
+            dealt = parts.withColumn("taken", F.aggregate("parts", start, deal)["taken"])
+            dealt = dealt.select("node", F.inline(F.zip_with("parts", "taken", lambda p, x: F.struct(p["at"].alias("at"), p["first"].alias("first"), p["blocks"].alias("blocks"), x.alias("taken")))))
+            picks = dealt.select("node", F.col("at").alias("up"), F.col("taken").alias("picks"))
+        half = lambda n, first, blocks: F.struct((F.col("node") * 2 + n).alias("node"), F.col("at").alias("rank"), first.alias("first"), blocks.alias("blocks"))
+        node = dealt.select(F.inline(F.array(half(0, F.col("first"), F.col("taken")), half(1, F.col("first") + F.col("taken"), F.col("blocks") - F.col("taken")))))
+        node = materialise(node) if levels > 1 else node
         width //= 2
-    return node.select(F.col("node").alias("shard"), F.inline("parts"))
+    return node.select(F.col("node").cast("int").alias("shard"), "rank", "first", "blocks")
 
 
 def plan(docs: DataFrame, seed: int = 7, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
@@ -156,36 +184,58 @@ def _copies(texts: DataFrame, seed: int) -> DataFrame:
     return texts.withColumn("copies", F.col("passes") + more.cast("int"))
 
 
-def mix(docs: DataFrame, seed: int = 7, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken (words, repeats counted) for every row.
+def _dealt(sources: DataFrame, shards: int, seed: int) -> DataFrame:
+    """Adds `ends` to sources: by shard, the number of the first drawn block after the shard's run."""
+    drawn = sources.select("rank", (F.col("passes") * F.col("n_blocks") + F.coalesce(F.col("stop") + 1, F.lit(0))).alias("blocks"))
+    ends = split_quotas(drawn, shards, seed).groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("shard", (F.col("first") + F.col("blocks")).alias("end")))).alias("ends"))
+    return materialise(sources.join(ends.select("rank", F.col("ends.end").alias("ends")), "rank"))
+
+
+def _placed(texts: DataFrame, seed: int) -> DataFrame:
+    """Adds `placed`, (number, shard, place) of every copy: the shard whose run holds the copy's block, and a random place in it."""
+
+    def put(number: Column) -> Column:
+        at = number * F.col("n_blocks") + _block(seed, number)
+        shard = F.when(at < F.element_at("ends", -1), F.size(F.filter("ends", lambda e: e <= at)))
+        return F.struct(number.alias("number"), shard.alias("shard"), F.xxhash64(F.lit(seed), "doc_id", "size", number).alias("place"))
+
+    none = F.array().cast("array<struct<number:int,shard:int,place:bigint>>")
+    return texts.withColumn("placed", F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), put)).otherwise(none))
+
+
+def placed_mix(docs: DataFrame, shards: int = SHARDS, seed: int = 7, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken (words of the placed copies), placed for every row.
 
     Null and empty texts have size 0; a null source is a source of its own and comes last; sources of
     size 0 have target 0.  Whole texts are taken, so a source's taken words lie within one text of its
     target.  Equal rows share their fate; null ids are ids like others; an empty table gives no rows.
     """
     sized, sources = plan(docs, seed, weights, most, id_col, text_col, source_col)
-    return _copies(_with_source(sized, sources), seed).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    texts = _placed(_copies(_with_source(sized, _dealt(sources, shards, seed)), seed), seed)
+    taken = F.aggregate("placed", F.lit(0).cast("long"), lambda s, p: s + F.when(p["shard"].isNotNull(), F.col("size")).otherwise(F.lit(0).cast("long")))
+    return texts.select("doc_id", "source", "size", "source_size", "target", "copies", taken.alias("taken"), "placed")
 
 
-def take(docs: DataFrame, seed: int = 7, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: every row with all its columns as often as it is taken; texts are not shuffled."""
-    _, sources = plan(docs, seed, weights, most, id_col, text_col, source_col)
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
-    taken = _copies(_with_source(rows, sources), seed).filter("copies > 0")
-    return taken.select(F.explode(F.sequence(F.lit(1), F.col("copies"))), "_row").select("_row.*")
+def mix(docs: DataFrame, seed: int = 7, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """placed_mix without the places."""
+    return placed_mix(docs, SHARDS, seed, weights, most, id_col, text_col, source_col).drop("placed")
 
 
-def shard_mix(docs: DataFrame, shards: int = 16, seed: int = 7, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, number (of the copy), shard, place for every taken copy; `place` orders a shard.
+def shard_mix(docs: DataFrame, shards: int = SHARDS, seed: int = 7, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, source, size, number (of the copy), shard, place for every taken copy; `place` orders a shard.
 
-    Write it with repartition(shards, "shard").sortWithinPartitions("shard", "place"): the shuffle is
-    local to a shard, and the shards hold disjoint runs of every source's permuted blocks.
+    The shards hold disjoint runs of every source's permuted blocks.
     """
-    sized, sources = plan(docs, seed, weights, most, id_col, text_col, source_col)
-    drawn = sources.withColumn("blocks", F.col("passes") * F.col("n_blocks") + F.coalesce(F.col("stop") + 1, F.lit(0)))
-    runs = split_quotas(drawn, shards, seed).groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("first", "blocks", "shard"))).alias("runs"))
-    taken = _copies(_with_source(sized, sources), seed).filter("copies > 0").withColumn("number", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    at = F.col("number") * F.col("n_blocks") + _block(seed, F.col("number"))
-    placed = taken.withColumn("at", at).join(F.broadcast(runs), "rank")
-    run = F.element_at(F.filter("runs", lambda r: (r["first"] <= F.col("at")) & (F.col("at") < r["first"] + r["blocks"])), 1)
-    return placed.select("doc_id", "source", "size", "number", run["shard"].alias("shard"), F.xxhash64(F.lit(seed), "doc_id", "number").alias("place"))
+    return placed_mix(docs, shards, seed, weights, most, id_col, text_col, source_col).select("doc_id", "source", "size", F.inline("placed")).select("doc_id", "source", "size", "number", "shard", "place")
+
+
+def take(docs: DataFrame, shards: int = SHARDS, seed: int = 7, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: every row with all its columns, shard and place, as often as it is taken, shuffled within its shard.
+
+    A shard lies in SLICES runs of places, each whole and in order in one partition.
+    """
+    _, sources = plan(docs, seed, weights, most, id_col, text_col, source_col)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    taken = _placed(_copies(_with_source(rows, _dealt(sources, shards, seed)), seed), seed).select("_row", F.inline("placed"))
+    piece = F.shiftright("place", 64 - (SLICES - 1).bit_length())
+    return taken.repartition("shard", piece).sortWithinPartitions("shard", "place").select("_row.*", "shard", "place")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .language_id import language_id
-from .mixing import mix
+from .mixing import placed_mix
 from .near_dedup import near_classes
 from .packing import pack
 from .pii import pii_digest
@@ -29,7 +29,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return placed_mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", F.col("placed.shard").alias("shards"), F.col("placed.place").alias("places"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
