@@ -149,6 +149,21 @@ def test_velocity_of_the_global_job(spark):
     assert [(e["from"], e["to"], e.lag_minutes, e.confidence) for e in edge] == [("kr", "jp", 120, 0.9167)]
 
 
+def test_global_job_by_scope(spark):
+    from datetime import datetime
+
+    from tidemark.plans.analysis import q20
+
+    rows = [(10 * d + i, r, s, f"{r} HARBOUR", 100.0 + d, d) for d in range(1, 6) for i, (r, s) in enumerate([("AFRICA", "news"), ("EUROPE", "news"), *([("AFRICA", "community"), ("EUROPE", "community"), ("ASIA", "community")] if d == 1 else [])])]
+    x = spark.createDataFrame([(*r[:5], 0.1, datetime(2001, 7, r[5]), 1) for r in rows], "id long, region_id string, scope string, name string, heat double, sentiment double, created_at timestamp_ntz, rank int")
+    # ASIA's topic has no source of its region.
+    own = spark.createDataFrame([(r[0], "s0" if r[1] == "ASIA" else "s1") for r in rows], "topic_id long, source_id string")
+    sources = spark.createDataFrame([("s0", "r2"), ("s1", "r1")], "id string, region_id string")
+    got = {r.scope: r for r in q20({"topics": x, "topic_sources": own, "sources": sources}.get).collect()}
+    assert {s: r.topic_ids for s, r in got.items()} == {"community": [12, 13], "news": [30, 31, 40, 41, 50, 51]}
+    assert all(r.regions == ["AFRICA", "EUROPE"] and r["rank"] == 1 for r in got.values())
+
+
 def test_search_and_clamp(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0]), (4, [1.0]), (5, None)], "id int, v array<double>")
     assert [(r.id, r.cosine) for r in search(v, [1, 0], "id", "v").collect()] == [(1, 1.0), (3, 0.707107)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,18 +79,21 @@ def accepted(t: float = 0.24, auto: float = 0.82, assist: float = 0.70) -> Colum
     return out
 
 
-def similar_pairs(nodes: DataFrame, threshold: float = 0.24, auto: float = 0.82, assist: float = 0.70) -> DataFrame:
+def similar_pairs(nodes: DataFrame, threshold: float = 0.24, auto: float = 0.82, assist: float = 0.70, within: Sequence[str] = ()) -> DataFrame:
     """key_l < key_r with their measures, cosine and score: pairs of nodes of different blocks that are one issue.
 
-    nodes: key, block, name, primary, name_tokens, keyword_tokens, tokens, vector.  Every rule but those on
+    nodes: key, block, name, primary, name_tokens, keyword_tokens, tokens, vector, and the columns `within`, in
+    which pairs agree.  Every rule but those on
     vectors and on names that contain one another needs a common token, and names share tokens with the
     names they contain, but for parts of words; vectors bring their own candidates.
     """
-    by_token = token_pairs(nodes, nodes, "key", "tokens").filter("key_l < key_r").select("key_l", "key_r")
+    by_token = token_pairs(nodes, nodes, "key", "tokens", within).filter("key_l < key_r").select("key_l", "key_r")
     by_vector = near_vectors(nodes, "key", "vector", assist)
     both = by_token.join(by_vector, ["key_l", "key_r"], "full_outer")
     side = lambda k, name: nodes.select(F.col("key").alias(k), F.struct(*[c for c in nodes.columns if c not in ("key", "vector")]).alias(name))
     x = both.join(side("key_l", "l"), "key_l").join(side("key_r", "r"), "key_r").filter("l.block <> r.block")
+    for c in within:
+        x = x.filter(F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")))
     x = x.select("key_l", "key_r", "cosine", *(m.alias(n) for n, m in measures().items()))
     return similarity(x).filter(accepted(threshold, auto, assist))
 

@@ -11,6 +11,7 @@ from ..operators.graph import connected
 from ..operators.keyed import top_per_key
 from . import pipelines as P
 from .domain import ORDERS_AS_OF
+from .reports import p14
 from .relational import ago, query
 
 WORDS = "[a-z0-9]{3,}"
@@ -151,11 +152,11 @@ def q21(t):
 @query("q20_global_analysis")
 def q20(t):
     x = t("topics")
-    # The job reads the latest three batches of each region, 4500 topics at most.
-    batches = top_per_key(x.select("region_id", "created_at").distinct(), ["region_id"], [F.desc("created_at")], 3).drop("rank")
-    y = x.join(batches, ["region_id", "created_at"]).orderBy(F.desc("heat"), "id").limit(4500)
-    y = y.select("id", "region_id", "name", F.array(F.element_at(F.split("name", " "), -1)).alias("keywords"), "heat", "sentiment", F.lit(1).alias("post_count"), F.col("created_at").alias("first_at"))
-    history = x.select("name", "heat", F.col("created_at").alias("at"))
+    # The job reads, for each scope, the latest three batches of each region, 4500 topics at most; those without a source of their region go.
+    batches = top_per_key(x.select("scope", "region_id", "created_at").distinct(), ["scope", "region_id"], [F.desc("created_at")], 3).drop("rank")
+    y = top_per_key(x.drop("rank").join(batches, ["scope", "region_id", "created_at"]), ["scope"], [F.desc("heat"), F.col("id")], 4500)
+    y = y.join(p14(t), "id", "left_semi").select("id", "scope", "region_id", "name", F.array(F.element_at(F.split("name", " "), -1)).alias("keywords"), "heat", "sentiment", F.lit(1).alias("post_count"), F.col("created_at").alias("first_at"))
+    history = x.select("scope", "name", "heat", F.col("created_at").alias("at"))
     return P.global_issues(P._checkpointed(y), history, F.lit(ORDERS_AS_OF).cast("timestamp_ntz"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from ..operators import keywords as K
 from ..operators import similarity as S
 from ..operators.graph import _checkpointed
 from ..operators.joins import one_to_one
+from ..operators.keyed import top_per_key
 
 #: Words of the sentiment lexicon.
 POSITIVE = ["good", "great", "best", "win", "success", "love", "hope"]
@@ -77,20 +80,20 @@ def snapshot(topics: DataFrame) -> DataFrame:
 
 
 def nodes(topics: DataFrame, vector: Column | None = None) -> DataFrame:
-    """Similarity nodes of topics (id, region_id, name, keywords)."""
+    """Similarity nodes of topics (id, region_id, name, keywords, and scope if there is one)."""
     words = lambda c: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(c), F.lit("[\\p{L}\\p{N}][\\p{L}\\p{N}._-]*"), 0), lambda w: F.length(w).between(2, 48) & ~w.rlike("^[0-9]+$") & ~w.isin(C.LOW_SIGNAL)))
     x = topics.withColumn("name_tokens", words(F.col("name"))).withColumn("keyword_tokens", F.array_distinct(F.concat(F.transform("keywords", lambda k: F.lower(F.trim(k))), words(F.array_join("keywords", " ")))))
-    return x.select(F.col("id").alias("key"), F.col("region_id").alias("block"), F.lower("name").alias("name"), F.get(F.filter("name_tokens", lambda w: F.length(w) >= 4), F.lit(0)).alias("primary"), "name_tokens", "keyword_tokens", F.array_distinct(F.concat("name_tokens", "keyword_tokens")).alias("tokens"), (vector if vector is not None else F.lit(None).cast("array<double>")).alias("vector"))
+    return x.select(*(c for c in ("scope",) if c in topics.columns), F.col("id").alias("key"), F.col("region_id").alias("block"), F.lower("name").alias("name"), F.get(F.filter("name_tokens", lambda w: F.length(w) >= 4), F.lit(0)).alias("primary"), "name_tokens", "keyword_tokens", F.array_distinct(F.concat("name_tokens", "keyword_tokens")).alias("tokens"), (vector if vector is not None else F.lit(None).cast("array<double>")).alias("vector"))
 
 
-def propagation(rows: DataFrame, history: DataFrame, as_of: Column) -> DataFrame:
-    """Adds velocity, acceleration and spread to issues (name, heat, regions) from their history (name, heat, at)."""
+def propagation(rows: DataFrame, history: DataFrame, as_of: Column, by: Sequence[str] = ()) -> DataFrame:
+    """Adds velocity, acceleration and spread to issues (name, heat, regions) from their history (name, heat, at), each within `by`."""
     at = lambda h: F.max_by("heat", F.when(F.col("at") <= as_of - F.make_interval(hours=F.lit(h)), F.col("at")))
-    past = history.groupBy("name").agg(at(1).alias("h1"), at(2).alias("h2"))
-    x = rows.join(past, "name", "left").withColumn("velocity", F.round(F.col("heat") - F.coalesce("h1", F.lit(0.0)), 4))
+    past = history.groupBy(*by, "name").agg(at(1).alias("h1"), at(2).alias("h2"))
+    x = rows.join(past, [*by, "name"], "left").withColumn("velocity", F.round(F.col("heat") - F.coalesce("h1", F.lit(0.0)), 4))
     x = x.withColumn("acceleration", F.round(F.col("velocity") - F.coalesce("h1", F.lit(0.0)) + F.coalesce("h2", F.lit(0.0)), 4)).drop("h1", "h2")
-    most = x.agg(F.max("velocity").alias("_most"))
-    return x.join(F.broadcast(most)).withColumn("spread", scoring.spread(F.size("regions"), F.col("velocity"), F.col("_most"))).drop("_most")
+    most = F.broadcast(x.groupBy(*by).agg(F.max("velocity").alias("_most")))
+    return (x.join(most, list(by)) if by else x.join(most)).withColumn("spread", scoring.spread(F.size("regions"), F.col("velocity"), F.col("_most"))).drop("_most")
 
 
 def timeline_edges(timeline: Column) -> Column:
@@ -107,19 +110,20 @@ def qualified_edges(edges: Column, scope: str) -> Column:
 
 
 def global_issues(topics: DataFrame, history: DataFrame, as_of: Column, threshold: float = 0.24, regions: int = 2, limit: int = 75) -> DataFrame:
-    """Issues that span regions, with heat by region, first region, timeline, edges, velocity and spread.
+    """Issues of each scope that span regions, `limit` a scope, with heat by region, first region, timeline, edges, velocity and spread.
 
-    topics: id, region_id, name, keywords, heat, sentiment, post_count, first_at; one batch selection.
+    topics: id, scope, region_id, name, keywords, heat, sentiment, post_count, first_at; one batch selection.
+    history: scope, name, heat, at.
     """
     n = _checkpointed(nodes(topics))
-    groups = S.issues(n, S.similar_pairs(n, threshold), regions)
+    groups = S.issues(n, S.similar_pairs(n, threshold, within=["scope"]), regions)
     x = topics.join(groups.withColumnRenamed("key", "id"), "id")
     score = S.representative_score(F.col("heat"), F.col("name"), text.is_placeholder(F.col("name")), F.col("post_count"))
-    r = x.groupBy("component", "region_id").agg(F.round(F.sum("heat"), 3).alias("heat"), F.round(F.avg("sentiment"), 3).alias("sentiment"), F.min("first_at").alias("first_at"), F.max(F.struct(score.alias("s"), F.col("id").alias("i"), F.col("name").alias("n"))).alias("best"), F.array_sort(F.collect_list("id")).alias("ids"))
-    c = r.groupBy("component").agg(F.max("best").alias("best"), F.array_sort(F.collect_list("region_id")).alias("regions"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("region_id", "heat")))).alias("regional_heat"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("region_id", "sentiment")))).alias("regional_sentiment"), F.array_sort(F.flatten(F.collect_list("ids"))).alias("topic_ids"), F.round(F.sum("heat"), 3).alias("heat"), F.array_sort(F.collect_list(F.struct("first_at", "region_id"))).alias("timeline"))
-    c = c.withColumn("name", F.col("best.n")).drop("best").orderBy(F.desc("heat"), "component").limit(limit)
+    r = x.groupBy("scope", "component", "region_id").agg(F.round(F.sum("heat"), 3).alias("heat"), F.round(F.avg("sentiment"), 3).alias("sentiment"), F.min("first_at").alias("first_at"), F.max(F.struct(score.alias("s"), F.col("id").alias("i"), F.col("name").alias("n"))).alias("best"), F.array_sort(F.collect_list("id")).alias("ids"))
+    c = r.groupBy("scope", "component").agg(F.max("best").alias("best"), F.array_sort(F.collect_list("region_id")).alias("regions"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("region_id", "heat")))).alias("regional_heat"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("region_id", "sentiment")))).alias("regional_sentiment"), F.array_sort(F.flatten(F.collect_list("ids"))).alias("topic_ids"), F.round(F.sum("heat"), 3).alias("heat"), F.array_sort(F.collect_list(F.struct("first_at", "region_id"))).alias("timeline"))
+    c = top_per_key(c.withColumn("name", F.col("best.n")).drop("best"), ["scope"], [F.desc("heat"), F.col("component")], limit)
     c = c.withColumn("first_region", F.get("timeline", F.lit(0))["region_id"]).withColumn("first_at", F.get("timeline", F.lit(0))["first_at"]).withColumn("edges", timeline_edges(F.col("timeline")))
-    return propagation(c, history, as_of)
+    return propagation(c, history, as_of, ["scope"])
 
 
 def scope_overlaps(community: DataFrame, news: DataFrame) -> DataFrame:
