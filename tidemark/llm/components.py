@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialise
+from .runtime import materialise, salted_join
 
 
 def _print(edges: DataFrame) -> tuple:
@@ -18,16 +18,17 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every node's neighbours are linked to its least neighbour until each component is a star.  Each
     step shuffles the edges once or twice and is written to the shared folder; the number of steps
-    grows with the logarithm of the longest chain.  Self loops and repeats are fine; no edges, no rows.
+    grows with the logarithm of the longest chain.  The edges of a hub are spread over salts.  Self
+    loops and repeats are fine; no edges, no rows.
     """
     edges = materialise(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = _print(edges)
     while seen[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = salted_join(both.filter("v > u"), least, "u", "n", 2 * seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = salted_join(large, low, "u", "n", seen[0]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = materialise(small.filter("u <> v").distinct())
         now = _print(edges)
         if now == seen:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import HEAVY, materialise, salted_join, shared_dir
+from .runtime import HEAVY, keep_rows, materialise, row_mark, salted_join, shared_dir
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ROCKSDB = {
@@ -20,7 +20,6 @@ ROCKSDB = {
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "192",
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
-    "spark.sql.streaming.statefulOperator.checkCorrectness.enabled": "false",
 }
 
 
@@ -30,12 +29,23 @@ def normalised(text: Column) -> Column:
 
 
 def feed(docs: DataFrame, id_col: str, text_col: str, digest_bits: int) -> DataFrame:
-    bits = f"substring(unhex(sha2(_norm, 256)), 1, {digest_bits // 8})"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.char_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("n_cp"), normalised(F.col(text_col)).alias("_norm"), F.input_file_name().alias("locator")).select("doc_id", "n_cp", "locator", F.expr(bits).alias("digest"), F.sha2("_norm", 256).alias("text_sha256"))
+    """doc_id, n_cp, locator, digest, text_sha256 and mark (a hash of all columns) of every row."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.char_length(F.coalesce(text, F.lit(""))).alias("n_cp"), normalised(text).alias("_norm"), F.input_file_name().alias("locator"), row_mark(docs).alias("mark"))
+    return rows.select("doc_id", "n_cp", "locator", "mark", F.expr(_digest(digest_bits)).alias("digest"), F.sha2("_norm", 256).alias("text_sha256"))
+
+
+def _digest(bits: int) -> str:
+    return f"substring(unhex(sha2(_norm, 256)), 1, {bits // 8})"
+
+
+#: What is retained of the row that stays: most code points, then the least id (none comes last), then the least mark.
+KEPT = "max_by(struct(doc_id, n_cp, mark, locator), struct(n_cp, ~doc_id as i, ~mark as m))"
+SHOWN = ("doc_id", "keep_id", "group_size", "kept", "text_sha256", "locator", "mark")
 
 
 def run_state(source: DataFrame, files_per_batch: int | None = None, state_dir: str | None = None) -> DataFrame:
-    """digest, keep_id, keep_cp, locator, group_size after the feed's files went through the stream.
+    """digest, keep_id, keep_cp, keep_mark, locator, group_size after the feed's files went through the stream.
 
     `state_dir` names a lasting checkpoint: a later call with new feed files goes on from its state
     and returns the digests that those files touched.
@@ -48,8 +58,7 @@ def run_state(source: DataFrame, files_per_batch: int | None = None, state_dir:
         reader = spark.readStream.schema(source.schema)
         if files_per_batch:
             reader = reader.option("maxFilesPerTrigger", files_per_batch)
-        rank = F.struct(F.col("n_cp"), (-F.col("doc_id")).alias("i"))
-        state = reader.parquet(source.inputFiles()[0].rpartition("/")[0]).groupBy("digest").agg(F.max_by(F.struct("doc_id", "n_cp", "locator"), rank).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+        state = reader.parquet(source.inputFiles()[0].rpartition("/")[0]).groupBy("digest").agg(F.expr(KEPT).alias("keep"), F.count(F.lit(1)).alias("group_size"))
         out = f"{shared_dir(spark)}/state"
 
         def store(batch: DataFrame, number: int) -> None:
@@ -63,51 +72,66 @@ def run_state(source: DataFrame, files_per_batch: int | None = None, state_dir:
     seen = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
     if files_per_batch or state_dir:  # a digest is told again by each batch that touches it; its size only grows
         seen = seen.groupBy("digest").agg(F.max_by("keep", "group_size").alias("keep"), F.max("group_size").alias("group_size"))
-    return seen.select("digest", F.col("keep.doc_id").alias("keep_id"), F.col("keep.n_cp").alias("keep_cp"), F.col("keep.locator").alias("locator"), "group_size")
+    return seen.select("digest", F.col("keep.doc_id").alias("keep_id"), F.col("keep.n_cp").alias("keep_cp"), F.col("keep.mark").alias("keep_mark"), F.col("keep.locator").alias("locator"), "group_size")
 
 
-def differing(docs: DataFrame, state: DataFrame, total: int, id_col: str, text_col: str, digest_bits: int) -> DataFrame:
+def differing(docs: DataFrame, state: DataFrame, total: int, text_col: str, digest_bits: int) -> DataFrame:
     """Digests of groups whose rows don't all hold the same bytes.
 
-    Each row is compared with the one before it in its group; heavy groups are checked in salted
-    parts, and the parts' first texts are then compared with one another.
+    Only rows of hits, digests seen more than once, are looked at.  Each is compared with the one before
+    it in its group; heavy groups are checked in salted parts, and the parts' first texts are then
+    compared with one another.
     """
     share = max(1, total // HEAVY)
+    hits = state.filter("group_size > 1").select("digest")
     heavy = state.filter(F.col("group_size") >= share).select("digest", F.least(F.lit(4 * HEAVY), F.ceil(F.col("group_size") / share)).cast("int").alias("_n"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("_norm"))
-    rows = rows.withColumn("digest", F.expr(f"substring(unhex(sha2(_norm, 256)), 1, {digest_bits // 8})"))
-    rows = rows.join(F.broadcast(heavy), "digest", "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("_n")).cast("int"), F.lit(0)))
-    w = Window.partitionBy("digest", "_salt").orderBy("doc_id")
+    rows = docs.select(F.monotonically_increasing_id().alias("_place"), normalised(F.col(text_col)).alias("_norm"))
+    rows = rows.withColumn("digest", F.expr(_digest(digest_bits))).join(hits, "digest", "left_semi")
+    rows = rows.join(F.broadcast(heavy), "digest", "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("_place"), F.col("_n")).cast("int"), F.lit(0)))
+    w = Window.partitionBy("digest", "_salt").orderBy("_place")
     checked = rows.select("digest", "_norm", (F.col("_norm") != F.lag("_norm").over(w)).alias("differs"), F.lag("_norm").over(w).isNull().alias("first"), F.col("_n").isNotNull().alias("heavy")).filter("differs or (first and heavy)")
     heads = F.when(F.col("first") & F.col("heavy"), F.col("_norm"))
     told = checked.groupBy("digest").agg(F.max("differs").alias("d"), F.min(heads).alias("a"), F.max(heads).alias("b"))
     return told.filter("d or a != b").select("digest")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 256, files_per_batch: int | None = None) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256, locator for every row.
-
-    Texts are equal when identical without white space; null counts as empty, and all empty texts are
-    one group.  Of a group the row with the most code points, then the smallest doc_id, stays; null
-    ids come last.  Repeated rows that bear keep_id and its length are all marked kept.  An empty
-    table gives no rows; other columns are not read.
-    """
-    spark = docs.sparkSession
+def _decided(docs: DataFrame, id_col: str, text_col: str, digest_bits: int, files_per_batch: int | None) -> DataFrame:
     source = materialise(feed(docs, id_col, text_col, digest_bits))
     total = source.count()
     if not total:
-        return source.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "locator")
+        return source.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "locator", "mark")
     state = run_state(source, files_per_batch)
-    kept = (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_cp") == F.col("keep_cp"))).alias("kept")
-    shown = ["doc_id", "keep_id", "group_size", kept, "text_sha256", "locator"]
-    wrong = materialise(differing(docs, state, total, id_col, text_col, digest_bits))
-    right = salted_join(source.drop("locator"), state, "digest", "group_size", total, "doc_id")
+    kept = (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_cp") == F.col("keep_cp")) & (F.col("mark") == F.col("keep_mark"))).alias("kept")
+    shown = [kept if x == "kept" else x for x in SHOWN]
+    wrong = materialise(differing(docs, state, total, text_col, digest_bits))
+    right = salted_join(source.drop("locator"), state, "digest", "group_size", total)
     if wrong.isEmpty():
         return right.select(*shown)
     by_bytes = F.expr("sha2(_norm, 512)") if digest_bits < 256 else F.col("_norm")
-    again = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.char_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("n_cp"), normalised(F.col(text_col)).alias("_norm"), F.input_file_name().alias("locator"))
-    again = again.withColumn("digest", F.expr(f"substring(unhex(sha2(_norm, 256)), 1, {digest_bits // 8})")).join(wrong, "digest", "left_semi")
-    again = again.select("doc_id", "n_cp", "locator", F.sha2("_norm", 256).alias("text_sha256"), by_bytes.alias("bytes"))
-    best = again.groupBy("bytes").agg(F.max_by(F.struct("doc_id", "n_cp", "locator"), F.struct("n_cp", (-F.col("doc_id")).alias("i"))).alias("k"), F.count(F.lit(1)).alias("group_size"))
-    apart = again.drop("locator").join(best, "bytes").select("doc_id", "n_cp", "text_sha256", "group_size", F.col("k.doc_id").alias("keep_id"), F.col("k.n_cp").alias("keep_cp"), F.col("k.locator").alias("locator")).select(*shown)
+    again = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.char_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("n_cp"), normalised(F.col(text_col)).alias("_norm"), F.input_file_name().alias("locator"), row_mark(docs).alias("mark"))
+    again = again.withColumn("digest", F.expr(_digest(digest_bits))).join(wrong, "digest", "left_semi")
+    again = again.select("doc_id", "n_cp", "mark", "locator", F.sha2("_norm", 256).alias("text_sha256"), by_bytes.alias("bytes"))
+    best = again.groupBy("bytes").agg(F.expr(KEPT).alias("k"), F.count(F.lit(1)).alias("group_size"))
+    apart = again.drop("locator").join(best, "bytes").select("doc_id", "n_cp", "mark", "text_sha256", "group_size", F.col("k.doc_id").alias("keep_id"), F.col("k.n_cp").alias("keep_cp"), F.col("k.mark").alias("keep_mark"), F.col("k.locator").alias("locator")).select(*shown)
     return right.join(wrong, "digest", "left_anti").select(*shown).unionByName(apart)
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 256, files_per_batch: int | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256, locator for every row.
+
+    Texts are equal when identical without white space; null counts as empty, and all empty texts are
+    one group.  Of a group the row with the most code points, then the smallest doc_id, stays; null
+    ids come last.  Of rows that are alike in id and length but for where white space stands, one stays;
+    rows alike in id and text are all marked kept if one is.  An empty table gives no rows; other
+    columns are not read.
+    """
+    return _decided(docs.select(id_col, text_col), id_col, text_col, digest_bits, files_per_batch).drop("mark")
+
+
+def unique_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row, with all its columns, of each group of equal texts: the one that exact_dedup keeps.
+
+    Rows are decided on by their texts, so rows without an id, and rows that repeat an id with another
+    text, take part like all others.  Rows alike in every column count as one; an empty table stays empty.
+    """
+    return keep_rows(docs, _decided(docs, id_col, text_col, 256, None).select("doc_id", "mark", "kept"), id_col)

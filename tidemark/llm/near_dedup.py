@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import materialise, salted_join
+from .runtime import keep_rows, materialise, row_mark, salted_join
 from .words import Words, mix64, slices, worker_cache
 
 SHINGLE, SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 25, 5
@@ -100,13 +100,19 @@ def whole_texts(w: Words, hashes: np.ndarray, family: int) -> np.ndarray:
     return FAMILIES[family].spans(hashes, w.first[:-1], w.first[1:])
 
 
-def signatures(docs: DataFrame, bands: int, band_rows: int, size: int, weighted: bool, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text_key (of the word sequence; null without words), bands."""
+def text_keys(w: Words) -> pa.Array:
+    """128 bits of each text's word sequence; null for a text without words."""
+    keys = np.stack([whole_texts(w, w.hashes(f), f) for f in (0, 1)], axis=1)
+    return pa.array([None if z else x.tobytes() for x, z in zip(keys, w.counts == 0, strict=True)], pa.binary())
+
+
+def signatures(docs: DataFrame, bands: int, band_rows: int, size: int, weighted: bool) -> DataFrame:
+    """doc_id, mark, text_key, bands of rows (doc_id, mark, text)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("none", bool)
         for b in batches:
-            for a, w in slices(b.column(1)):
+            for a, w in slices(b.column(2)):
                 row, key = shingles(w, size)
                 weight = None
                 if weighted:
@@ -119,23 +125,21 @@ def signatures(docs: DataFrame, bands: int, band_rows: int, size: int, weighted:
                 band = np.zeros((w.rows, bands), dtype=np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
                 for i in range(band_rows):
                     band = mix64(band * np.uint64(0x9E3779B97F4A7C15) ^ sig[:, :, i])
-                keys = np.stack([whole_texts(w, w.hashes(f), f) for f in (0, 1)], axis=1)
-                none = w.counts == 0
-                text_key = pa.array([None if z else x.tobytes() for x, z in zip(keys, none, strict=True)], pa.binary())
                 flat = pa.array(band.view(np.int64).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(w.rows + 1, dtype=np.int32) * bands), flat)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, w.rows), text_key, lists], ["doc_id", "text_key", "bands"])
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(a, w.rows) for i in (0, 1)), text_keys(w), lists], ["doc_id", "mark", "text_key", "bands"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(sign, "doc_id long, text_key binary, bands array<long>")
+    return docs.select("doc_id", "mark", "text").mapInArrow(sign, "doc_id long, mark long, text_key binary, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, size: int, weighted: bool) -> DataFrame:
-    """doc_id, items: the sorted distinct shingles (with their occurrence numbers mixed in if weighted)."""
+def shingle_sets(texts: DataFrame, size: int, weighted: bool) -> DataFrame:
+    """node, items: the sorted distinct shingles (with their occurrence numbers mixed in if weighted) of rows
+    (node, text_key, text) whose text has that key."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("none", bool)
         for b in batches:
-            for a, w in slices(b.column(1)):
+            for a, w in slices(b.column(2)):
                 row, key = shingles(w, size)
                 order = np.lexsort((key, row))
                 row, key = row[order], key[order]
@@ -147,21 +151,24 @@ def shingle_sets(docs: DataFrame, size: int, weighted: bool) -> DataFrame:
                 else:
                     row, key = row[~same], key[~same]
                 at = np.searchsorted(row, np.arange(w.rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, w.rows), pa.ListArray.from_arrays(pa.array(at), pa.array(key.view(np.int64)))], ["doc_id", "items"])
+                out = pa.RecordBatch.from_arrays([b.column(0).slice(a, w.rows), pa.ListArray.from_arrays(pa.array(at), pa.array(key.view(np.int64)))], ["node", "items"])
+                yield out.filter(pa.compute.equal(b.column(1).slice(a, w.rows).cast(pa.binary()), text_keys(w)))
 
-    return docs.mapInArrow(sets, "doc_id long, items array<long>")
+    return texts.select("node", "text_key", "text").mapInArrow(sets, "node long, items array<long>")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, sim: exact similarity of the pairs (a, b)."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
+    """a, b, sim, n (pairs of that a): exact similarity of the pairs (a, b).  The pairs of one a are spread over salts."""
+    left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("sim"))
+    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    met = salted_join(pairs.join(right, "b"), left.join(many, "a"), "a", "n", pairs.count())
+    return met.select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("sim"), "n")
 
 
 def rare_heads(sets: DataFrame, similarity: float) -> DataFrame:
-    """doc_id, label, hub, d, n, place, item: of every set the items that come first when rare ones do, as many as it
+    """node, label, hub, d, n, place, item: of every set the items that come first when rare ones do, as many as it
     takes that two sets of the wanted similarity can't do without a common one.
 
     Rarity is read off a histogram of HISTOGRAM cells, whatever the number of sets; any order would
@@ -181,60 +188,82 @@ def rare_heads(sets: DataFrame, similarity: float) -> DataFrame:
             place = np.arange(len(items)) - np.repeat(np.cumsum(n) - n, n)
             chosen = place < np.repeat(n - np.ceil((similarity - 1e-9) * n).astype(np.int64) + 1, n)
             row, items, place = row[chosen], items[order][chosen], place[chosen]
-            yield pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(row)) for i in (0, 2, 3, 4)), pa.array(n[row].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(items)], ["doc_id", "label", "hub", "d", "n", "place", "item"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(row)) for i in (0, 2, 3, 4)), pa.array(n[row].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(items)], ["node", "label", "hub", "d", "n", "place", "item"])
 
-    return sets.select("doc_id", "items", "label", "hub", "d").mapInArrow(head, "doc_id long, label long, hub long, d double, n int, place int, item long")
+    return sets.select("node", "items", "label", "hub", "d").mapInArrow(head, "node long, label long, hub long, d double, n int, place int, item long")
 
 
-def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, band_rows: int = BAND_ROWS, weighted: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class) for every row.
+def _classes(docs: DataFrame, similarity: float, size: int, bands: int, band_rows: int, weighted: bool, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, mark, class_id, best (mark of the class's row with the least id; null for texts without words) of every row.
 
-    Texts are linked when the Jaccard similarity of their shingle sets (of the multisets, if weighted)
-    is at least `similarity`; classes are the connected components.  Texts with the same words are one
-    class whatever their white space.  A null or empty text is a class of its own, as is a row without
-    an id (class null).  Repeated rows share their class; an empty table gives no rows.
+    All steps work on distinct texts, whatever ids their rows bear: a text is a node, and one row that
+    holds it stands for it wherever the text itself is wanted.
     """
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = materialise(signatures(narrow, bands, band_rows, size, weighted, "doc_id", "text"))
-    known = signed.filter("doc_id is not null and text_key is not null")
-    folded = known.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    folded = materialise(folded)
-    bucket = known.join(folded.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.explode("bands").alias("band"), F.col("doc_id").alias("rep"))
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_mark(docs).alias("mark"), F.col(text_col).cast("string").alias("text"))
+    signed = materialise(signatures(narrow, bands, band_rows, size, weighted))
+    known = signed.filter("text_key is not null")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
+    folded = known.groupBy("text_key").agg(first.alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    folded = materialise(folded.withColumn("node", F.monotonically_increasing_id()))
+    bucket = folded.select(F.explode("bands").alias("band"), "node")
     shared = bucket.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = materialise(bucket.join(shared, "band"))
-    degree = members.groupBy("rep").agg(F.sum("n").alias("degree"))
-    ranked = members.join(degree, "rep")
-    pivots = ranked.groupBy("band").agg(F.max(F.struct("degree", (-F.col("rep")).alias("i"))).alias("p")).select("band", (-F.col("p.i")).alias("pivot"))
-    placed = materialise(members.join(pivots, "band").select("band", "rep", "pivot"))
-    pairs = placed.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
+    ranked = members.join(degree, "node")
+    pivots = ranked.groupBy("band").agg(F.max(F.struct("degree", (-F.col("node")).alias("i"))).alias("p")).select("band", (-F.col("p.i")).alias("pivot"))
+    placed = materialise(members.join(pivots, "band").select("band", "node", "pivot"))
+    pairs = materialise(placed.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
     # The sets of all that share a bucket are made once; later rounds need no texts.
-    ids = placed.select(F.col("rep").alias("doc_id")).distinct()
-    sets = materialise(shingle_sets(narrow.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), size, weighted))
+    wanted = placed.select("node").distinct().join(folded, "node").select("node", "text_key", F.col("first.mark").alias("mark"))
+    texts = narrow.join(wanted.hint("merge"), "mark").dropDuplicates(["mark", "node"])
+    sets = materialise(shingle_sets(texts, size, weighted))
     scored = materialise(_verify(pairs, sets))
     links = scored.filter(F.col("sim") >= similarity).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    labels = components(links)
+    labels = components(links).withColumnRenamed("node", "of")
     # Members of one bucket in different classes may yet be linked: they meet by their rarest shingles.
-    apart = placed.join(labels, F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("label", "rep").alias("label"))
+    apart = placed.join(labels, F.col("node") == F.col("of"), "left").select("band", "node", F.coalesce("label", "node").alias("label"))
     mixed = apart.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
-    apart = apart.join(mixed, "band").select(F.col("rep").alias("doc_id"), "label").distinct()
+    apart = apart.join(mixed, "band").select("node", "label").distinct()
     # Jaccard distance is a metric: two at distances more than 1 - similarity apart from one hub aren't linked.
-    hubs = scored.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    seen = scored.join(hubs, "a").groupBy(F.col("b").alias("doc_id")).agg(F.max(F.struct("n", "a", (1 - F.col("sim")).alias("d"))).alias("h"))
-    apart = apart.join(seen, "doc_id", "left").select("doc_id", "label", F.coalesce("h.a", "doc_id").alias("hub"), F.coalesce("h.d", F.lit(0.0)).alias("d"))
-    heads = materialise(rare_heads(materialise(sets.join(apart, "doc_id")), similarity))
+    seen = scored.groupBy(F.col("b").alias("node")).agg(F.max(F.struct("n", "a", (1 - F.col("sim")).alias("d"))).alias("h"))
+    apart = apart.join(seen, "node", "left").select("node", "label", F.coalesce("h.a", "node").alias("hub"), F.coalesce("h.d", F.lit(0.0)).alias("d"))
+    heads = materialise(rare_heads(materialise(sets.join(apart, "node")), similarity))
     x, y = heads.alias("x"), heads.alias("y")
     sizes = F.least("x.n", "y.n") >= F.lit(similarity - 1e-9) * F.greatest("x.n", "y.n")
     # If this is the first common item, at most what follows it in the shorter rest is common too.
     rest = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= F.lit((similarity - 1e-9) / (1 + similarity)) * (F.col("x.n") + F.col("y.n"))
     near = (F.col("x.hub") != F.col("y.hub")) | (F.abs(F.col("x.d") - F.col("y.d")) <= 1 - similarity + 1e-9)
     more = x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.label") < F.col("y.label")) & sizes & rest & near)
-    more = more.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+    more = more.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     tried = scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = materialise(more.join(tried, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         found = _verify(more, sets).filter(F.col("sim") >= similarity)
-        labels = components(links.unionByName(found.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    total = signed.count()
-    classes = folded.join(labels, F.col("rep") == F.col("node"), "left").select("text_key", "copies", F.coalesce("label", "rep").alias("class_id"))
-    named = salted_join(signed.select("doc_id", "text_key"), classes, "text_key", "copies", total, "doc_id")
-    return named.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
+        labels = components(links.unionByName(found.select(F.col("a").alias("u"), F.col("b").alias("v")))).withColumnRenamed("node", "of")
+    named = folded.select("text_key", "node", "first", "copies").join(labels, F.col("node") == F.col("of"), "left").select("text_key", "first", "copies", F.coalesce("label", "node").alias("label"))
+    named = materialise(named)
+    best = named.groupBy("label").agg(F.min("first").alias("best"), F.count(F.lit(1)).alias("n"))
+    classes = materialise(salted_join(named.drop("first"), best, "label", "n", named.count()).select("text_key", "copies", "best"))
+    told = salted_join(signed.drop("bands"), classes, "text_key", "copies", signed.count())
+    alone = F.when(F.col("text_key").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id"))
+    return told.select("doc_id", "mark", alone.alias("class_id"), F.col("best.mark").alias("best"), F.col("best.doc_id").alias("best_id"))
+
+
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, band_rows: int = BAND_ROWS, weighted: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id (the least doc_id of the class) for every row.
+
+    Texts are linked when the Jaccard similarity of their shingle sets (of the multisets, if weighted)
+    is at least `similarity`; classes are the connected components.  Texts with the same words are one
+    class whatever their white space.  Rows are told apart by their texts: rows that repeat an id with
+    another text are in that text's class, and rows without an id take part (class null only if no row
+    of the class has an id).  A null or empty text is a class of its own.  An empty table gives no rows.
+    """
+    return _classes(docs.select(id_col, text_col), similarity, size, bands, band_rows, weighted, id_col, text_col).select("doc_id", "class_id")
+
+
+def unlike_documents(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, band_rows: int = BAND_ROWS, weighted: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row, with all its columns, of each class of near_classes: the one with the least id, and one without only
+    where none has an id.  Texts without words stay.  Rows alike in every column count as one."""
+    told = _classes(docs, similarity, size, bands, band_rows, weighted, id_col, text_col)
+    kept = F.col("best").isNull() | ((F.col("best") == F.col("mark")) & F.col("best_id").eqNullSafe(F.col("doc_id")))
+    return keep_rows(docs, told.select("doc_id", "mark", kept.alias("kept")), id_col)
