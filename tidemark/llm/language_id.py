@@ -1,12 +1,14 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-One model a language, of characters inside words, all in one table of sorted n-gram hashes with the
-languages' log probabilities and back-off weights side by side.  A text gets the language with the
-lowest cross-entropy a character; the margin to the next gives a calibrated score, and a text whose
-cross-entropy lies far above what its language shows on held-back sample texts is rejected.
-
-Training reads a bounded sample (SAMPLE_DOCS texts a language, SAMPLE_CHARS characters from a hashed place of each);
-prediction reads every text whole, each distinct word being scored once for a cache life.
+One model a language, of characters inside words: sorted n-gram hashes with log probabilities and
+back-off weights.  A text gets the language with the lowest cross-entropy a character; the margin to
+the next gives a calibrated score, and a text whose cross-entropy lies far above what its language
+shows on held-back sample texts is rejected.
+
+Every language that a row is labelled with is learnt.  Training reads whole texts of a bounded sample
+of labelled rows: SAMPLE_DOCS rows a language, and SAMPLE_ROWS rows in all where there are many
+languages (one row of each at least).  Prediction reads every text whole, each distinct word being
+scored once for a cache life.
 """
 
 from __future__ import annotations
@@ -21,10 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .words import Words, mix64, slices, worker_cache
+from .runtime import materialise
+from .words import Words, distinct, mix64, slices, worker_cache
 
-SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGES = 400, 3000, 200
+SAMPLE_DOCS, SAMPLE_ROWS = 400, 20_000
+#: Of a language's sample every FOLDth text is held back to calibrate on.
+FOLD = 5
 ORDER, UNKNOWN, UNDECIDED = 5, -14.0, "und"
+GAP = "[\\x20\\x09-\\x0D]+"
 SLICE_BYTES, CACHE_NUMBERS = 2 << 20, 2_400_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -74,75 +80,79 @@ def _lookup(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class Model:
-    languages: list[str]
+class Part:
+    """One language: sorted n-gram hashes of all orders, log p of each, log weight of what follows it; log p of a
+    letter that only other languages have shown; and the cross-entropy above which a text is rejected."""
+
     keys: np.ndarray
     logp: np.ndarray
     backoff: np.ndarray
-    slope: float
-    limits: np.ndarray
+    floor: float
+    limit: float = np.inf
+
+
+@dataclass
+class Model:
+    languages: list[str]
+    parts: list[Part]
+    letters: np.ndarray
+    slope: float = 1.0
 
     def words(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(log probability of every chunk in every language, its predicted characters)."""
         g = Grams(letter_codes(chunks))
-        total = np.zeros((len(g.codes), len(self.languages)), dtype=np.float32)
         left = g.at(1)
         left = left[(g.depth[left] > 1) | (g.codes[left] > 0)]  # a chunk without letters predicts nothing
         used = np.bincount(g.word[left], minlength=len(chunks))[: len(chunks)]
-        want = left
-        for n in range(ORDER, 0, -1):
-            here = want[g.depth[want] >= n - 1]
-            row = _lookup(self.keys, g.keys[n - 1][here])
-            total[here[row >= 0]] += self.logp[row[row >= 0]]
-            miss = here[row < 0]
-            if n > 1:
-                context = _lookup(self.keys, g.keys[n - 2][miss - 1])
-                total[miss[context >= 0]] += self.backoff[context[context >= 0]]
-                want = np.concatenate([want[g.depth[want] < n - 1], miss])
-            else:
-                total[miss] += UNKNOWN
-        sums = np.stack([np.bincount(g.word[left], total[left, i], minlength=len(chunks))[: len(chunks)] for i in range(len(self.languages))], axis=1)
-        return sums.astype(np.float32), used
-
-
-def train(samples: dict[str, list[str]]) -> Model:
-    """Model of the sampled texts of each language; every fifth text is held back to calibrate on."""
-    languages = sorted(samples)
-    if not languages:
-        return Model([], np.zeros(0, dtype=np.uint64), np.zeros((0, 0)), np.zeros((0, 0)), 1.0, np.zeros(0))
-    parts = [_counts([w for i, t in enumerate(samples[x]) if i % 5 or len(samples[x]) < 5 for w in t.split()]) for x in languages]
-    union: list[dict] = []
+        strange = _lookup(self.letters, g.codes) < 0
+        sums = np.zeros((len(chunks), len(self.parts)), dtype=np.float32)
+        for l, part in enumerate(self.parts):
+            total, want = np.zeros(len(g.codes)), left
+            for n in range(ORDER, 0, -1):
+                here = want[g.depth[want] >= n - 1]
+                row = _lookup(part.keys, g.keys[n - 1][here])
+                total[here[row >= 0]] += part.logp[row[row >= 0]]
+                miss = here[row < 0]
+                if n > 1:
+                    context = _lookup(part.keys, g.keys[n - 2][miss - 1])
+                    total[miss[context >= 0]] += part.backoff[context[context >= 0]]
+                    want = np.concatenate([want[g.depth[want] < n - 1], miss])
+                else:
+                    total[miss] += np.where(strange[miss], UNKNOWN, part.floor)
+            sums[:, l] = np.bincount(g.word[left], total[left], minlength=len(chunks))[: len(chunks)]
+        return sums, used
+
+
+def _log(p: np.ndarray) -> np.ndarray:
+    return np.log(np.maximum(p, 1e-7))
+
+
+def fit(kinds: list[str], times: np.ndarray, letters: int) -> Part:
+    """The model of one language from its distinct words and their counts; `letters` are known over all languages."""
+    own = _counts(kinds, times)
+    keys, logp, weights, lower = [], [], {}, None
+    for n in range(1, ORDER + 1):
+        o = own[n]
+        low = 1.0 / (letters + 1) if n == 1 else lower[_lookup(own[n - 1]["keys"], o["suffix"])]
+        of = _lookup(o["contexts"], o["context"])
+        weight = o["discount"] * o["types"] / o["total"]
+        lower = np.maximum(o["count"] - o["discount"], 0) / o["total"][of] + weight[of] * low
+        keys.append(o["keys"])
+        logp.append(_log(lower))
+        weights[n] = o["contexts"], _log(weight)
+    backoff = []
     for n in range(1, ORDER + 1):
-        keys = np.concatenate([p[n]["keys"] for p in parts])
-        keys, first = np.unique(keys, return_index=True)
-        suffix, context = (np.concatenate([p[n][x] for p in parts])[first] for x in ("suffix", "context"))
-        union.append({"keys": keys, "suffix": suffix, "context": context, "p": np.zeros((len(keys), len(languages)))})
-    for l, p in enumerate(parts):
-        for n in range(1, ORDER + 1):
-            u, own = union[n - 1], p[n]
-            row = _lookup(own["keys"], u["keys"])
-            count = np.where(row >= 0, own["count"][row], 0.0) if len(own["keys"]) else np.zeros(len(u["keys"]))
-            lower = 1.0 / (len(union[0]["keys"]) + 1) if n == 1 else union[n - 2]["p"][_lookup(union[n - 2]["keys"], u["suffix"]), l]
-            row = _lookup(own["contexts"], u["context"])
-            total, types = (np.where(row >= 0, own[x][row], 0.0) if len(own["contexts"]) else np.zeros(len(u["keys"])) for x in ("total", "types"))
-            kept = np.maximum(count - own["discount"], 0)
-            u["p"][:, l] = np.where(total > 0, (kept + own["discount"] * types * lower) / np.maximum(total, 1), lower)
-    rows = [(u["keys"], np.log(np.maximum(u["p"], 1e-7)), np.zeros_like(u["p"])) for u in union]
-    for l, p in enumerate(parts):
-        for n in range(2, ORDER + 1):
-            row = _lookup(rows[n - 2][0], p[n]["contexts"])
-            weight = np.log(np.maximum(p[n]["discount"] * p[n]["types"] / p[n]["total"], 1e-7))
-            rows[n - 2][2][row[row >= 0], l] = weight[row >= 0]
-    keys = np.concatenate([r[0] for r in rows])
-    order = np.argsort(keys)
-    model = Model(languages, keys[order], *(np.concatenate([r[i] for r in rows])[order].astype(np.float32) for i in (1, 2)), 1.0, np.full(len(languages), np.inf))
-    return _calibrate(model, samples)
-
-
-def _counts(words: list[str]) -> dict[int, dict]:
+        row = _lookup(weights[n + 1][0], keys[n - 1]) if n < ORDER else np.full(len(keys[-1]), -1)
+        backoff.append(np.where(row >= 0, weights[n + 1][1][row], 0.0) if n < ORDER and len(weights[n + 1][0]) else np.zeros(len(row)))
+    floor = float(weights[1][1][0] - np.log(letters + 1)) if len(weights[1][1]) else UNKNOWN
+    every = np.concatenate(keys)
+    order = np.argsort(every)
+    return Part(every[order], *(np.concatenate(x)[order].astype(np.float32) for x in (logp, backoff)), floor)
+
+
+def _counts(kinds: list[str], times: np.ndarray) -> dict[int, dict]:
     """Of each order: n-grams with their Kneser-Ney counts, and their contexts' totals and types."""
-    kinds, times = np.unique(np.array(words, dtype=object), return_counts=True) if words else (np.zeros(0, dtype=object), np.zeros(0))
-    g = Grams(letter_codes(list(kinds)))
+    g = Grams(letter_codes(kinds))
     weight = np.append(times, 0)[np.clip(g.word, -1, len(times))]
     out: dict[int, dict] = {}
     for n in range(ORDER, 0, -1):
@@ -163,24 +173,76 @@ def _counts(words: list[str]) -> dict[int, dict]:
     return out
 
 
-def _calibrate(model: Model, samples: dict[str, list[str]]) -> Model:
-    """Slope of the score by least log loss, and each language's limit on the cross-entropy."""
-    margins, right, seen = [], [], [[] for _ in model.languages]
-    for l, name in enumerate(model.languages):
-        for text in samples[name][::5]:
-            if len(chunks := text.split()):
-                sums, used = model.words(chunks)
-                if used.sum():
-                    h = -sums.sum(0, dtype=float) / used.sum()
-                    seen[l].append(h[l])
-                    best = np.sort(h)
-                    margins.append((best[1] - best[0] if len(best) > 1 else 9.0) * np.sqrt(used.sum()))
-                    right.append(h.argmin() == l)
-    if margins:
-        m, r = np.array(margins), np.array(right)
-        loss = lambda k: -np.log(np.clip(np.where(r, 1 / (1 + np.exp(-k * m)), 1 / (1 + np.exp(np.minimum(k * m, 50)))), 1e-9, 1)).mean()
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_DOCS, most: int = SAMPLE_ROWS) -> DataFrame:
+    """lang, held, text: the rows to learn from, of those whose crc32 of the id leaves 1 to 4 when divided by 5.
+
+    The choice is by a hash of the id, so it doesn't depend on order: the first `per_language` of each
+    language, or fewer of each if that made more than `most` rows in all.  `held` rows are calibrated on.
+    """
+    known = docs.select(F.col(id_col).cast("string").alias("i"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null and pmod(crc32(i), 5) != 0").withColumn("h", F.xxhash64("i", F.lit(5)))
+    languages = known.select("lang").distinct().count()
+    each = max(1, min(per_language, most // max(1, languages)))
+    keys = known.select("lang", "h", "i").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "i")) - 1).filter(F.col("r") < each).dropDuplicates(["lang", "h", "i"])
+    keys = F.broadcast(keys) if languages <= most else keys  # at most `most` rows then
+    drawn = known.join(keys, ["lang", "h", "i"]).dropDuplicates(["lang", "h", "i"])
+    return materialise(drawn.select("lang", (F.col("r") % FOLD == FOLD - 1).alias("held"), "text"))
+
+
+def train(samples: DataFrame) -> Model:
+    """Model of the sampled texts (lang, held, text).  Words are counted by Spark; one task fits one language."""
+    spark = samples.sparkSession
+    words = samples.filter("not held").select("lang", F.explode(F.split("text", GAP)).alias("word")).filter("word <> ''")
+    words = materialise(words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
+
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(distinct(letter_codes(b.column(0).to_pylist())).view(np.int64))], ["code"])
+
+    # Letters are code points, so there are at most 1,114,112 of them.
+    letters = np.sort(np.array([r["code"] for r in words.select("word").mapInArrow(codes, "code long").distinct().collect()], dtype=np.uint64))
+
+    def learn(table: pa.Table) -> pa.Table:
+        table = table.sort_by("word")
+        p = fit(table.column("word").to_pylist(), table.column("n").to_numpy(), len(letters))
+        return pa.table({"lang": table.column("lang").slice(0, 1), **{c: pa.array([getattr(p, c).tobytes()], pa.binary()) for c in ("keys", "logp", "backoff")}, "floor": pa.array([p.floor])})
+
+    got = words.groupBy("lang").applyInArrow(learn, "lang string, keys binary, logp binary, backoff binary, floor double").orderBy("lang").collect()
+    parts = [Part(np.frombuffer(r["keys"], dtype=np.uint64), np.frombuffer(r["logp"], dtype=np.float32), np.frombuffer(r["backoff"], dtype=np.float32), r["floor"]) for r in got]
+    model = Model([r["lang"] for r in got], parts, letters)
+    return _calibrate(model, samples.filter("held")) if parts else model
+
+
+def _calibrate(model: Model, held: DataFrame) -> Model:
+    """Slope of the score by least log loss, and each language's limit on the cross-entropy.
+
+    The limit stands well above the middle of what texts of that label show; those that the model gives
+    to another language, as it does wrong labels, are left out, and single outliers don't move it.
+    """
+    shared = held.sparkSession.sparkContext.broadcast(model)
+    name = uuid.uuid4().hex
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = worker_cache(("scorer", name), lambda: _Scorer(shared.value))
+        for b in batches:
+            for a, w in slices(b.column(1), SLICE_BYTES):
+                sums, used = scorer.texts(w)
+                on = np.flatnonzero(used)
+                h = -sums[on] / used[on, None]
+                gap = np.partition(h, 1, axis=1)[:, 1] - h.min(1) if h.shape[1] > 1 else np.full(len(on), 9.0)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, w.rows).take(pa.array(on)), pa.array(h.argmin(1).astype(np.int32)), pa.array(h.min(1).astype(float)), pa.array(gap * np.sqrt(used[on]))], ["lang", "best", "h", "margin"])
+
+    rows = held.select("lang", "text").mapInArrow(measure, "lang string, best int, h double, margin double").collect()
+    shared.unpersist()
+    right = np.array([model.languages[r["best"]] == r["lang"] for r in rows])
+    if rows:
+        m = np.array([r["margin"] for r in rows])
+        loss = lambda k: -np.log(np.clip(np.where(right, 1 / (1 + np.exp(-k * m)), 1 / (1 + np.exp(np.minimum(k * m, 50)))), 1e-9, 1)).mean()
         model.slope = float(min(np.geomspace(0.2, 5, 15), key=loss))
-    model.limits = np.array([np.mean(x) + max(1.5, 8 * np.std(x), 1.5 * (max(x) - np.mean(x))) if x else np.inf for x in seen])
+    for l, part in enumerate(model.parts):
+        h = np.array([r["h"] for r, x in zip(rows, right, strict=True) if x and r["best"] == l])
+        if len(h):
+            middle = np.median(h)
+            part.limit = float(middle + max(1.5, 8 * 1.4826 * np.median(np.abs(h - middle)), 1.5 * (np.quantile(h, 0.9) - middle)))
     return model
 
 
@@ -210,26 +272,6 @@ class _Scorer:
         return sums, np.bincount(w.row, self.used[at], minlength=w.rows)
 
 
-def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = SAMPLE_DOCS) -> dict[str, list[str]]:
-    """Texts to learn from, by language: those whose crc32 of the id leaves 1 to 4 when divided by 5.
-
-    The choice is by a hash of the id, so it doesn't depend on order; at most `per_language` texts,
-    SAMPLE_CHARS characters each, of the LANGUAGES largest languages, reach the driver.  Where a longer
-    text is entered depends on the hash too, so that not only openings are learnt.
-    """
-    known = docs.select(F.col(id_col).cast("string").alias("i"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("t")).filter("lang is not null and t is not null and pmod(crc32(i), 5) != 0")
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    drawn = known.join(F.broadcast(sizes), "lang").withColumn("h", F.xxhash64("i", F.lit(5)))
-    drawn = drawn.filter(F.pmod("h", F.lit(1 << 30)) < F.col("n").cast("double") ** -1 * (1.5 * per_language + 50) * (1 << 30))
-    w = Window.partitionBy("lang").orderBy("h", "i")
-    place = F.pmod("h", F.greatest(F.length("t") - SAMPLE_CHARS + 1, F.lit(1)).cast("long")).cast("int")
-    rows = drawn.select("lang", "h", "i", F.substring("t", place + 1, F.lit(SAMPLE_CHARS)).alias("t")).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_language).orderBy("lang", "r").collect()
-    out: dict[str, list[str]] = {}
-    for r in rows:
-        out.setdefault(r["lang"], []).append(r["t"])
-    return out
-
-
 def _predictions(scorer: _Scorer, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(language, score, cross-entropy, rejected) of each row."""
     m = scorer.model
@@ -241,7 +283,7 @@ def _predictions(scorer: _Scorer, w: Words) -> tuple[np.ndarray, np.ndarray, np.
         best[on], h0[on] = h.argmin(1), h.min(1)
         gap = np.sort(h, axis=1)[:, 1] - h.min(1) if h.shape[1] > 1 else np.full(len(on), 9.0)
         mark[on] = 1 / (1 + np.exp(-np.minimum(m.slope * gap * np.sqrt(used[on]), 50)))
-        bad[on] = h0[on] > m.limits[best[on]] * (1 + 3 / np.sqrt(used[on]))
+        bad[on] = h0[on] > np.array([p.limit for p in m.parts])[best[on]] * (1 + 3 / np.sqrt(used[on]))
     return np.array([*m.languages, UNDECIDED], dtype=object)[best], mark, h0, bad
 
 
