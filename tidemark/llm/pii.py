@@ -6,10 +6,13 @@ the kinds that a pattern alone can't settle.  Positions are code points, ends ex
 
 A match starts where the one before ended or where its first run of characters starts, and repeats
 are possessive: the same leftmost matches, found in time linear in the text and with constant stack.
+Matches are placed and scored from the gaps between them, so time is linear in their number too.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +41,8 @@ CONTEXT = {
     "phone_local": "phone|tel|call|mobile|fax",
 }
 WINDOW, BONUS, THRESHOLD = 40, 0.3, 0.6
+#: A text holds less than FAN ** ROUNDS matches; NEAR of them, with the gaps between, fill a WINDOW.
+FAN, ROUNDS, NEAR = 32, 6, 16
 
 
 def _digits(x: Column) -> Column:
@@ -70,24 +75,50 @@ def _valid(kind: str, m: Column) -> Column:
     return mod97(m) if kind == "iban" else F.lit(True)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once: Spark computes a column anew wherever a lambda names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _sums(values: Column) -> Column:
+    """Running sums: every round adds up FAN sums, each of FAN times as many elements as in the round before.
+
+    A fold that gathers them would copy its whole state at each element.
+    """
+
+    def add(step: int) -> Callable[[Column], Column]:
+        at = lambda a, i: F.aggregate(F.sequence(F.lit(0), F.least(F.lit(FAN - 1), F.floor(i / step).cast("int"))), F.lit(0), lambda s, j: s + F.get(a, i - j * step))
+        return lambda a: F.when(F.size(a) > step, F.transform(a, lambda _, i: at(a, i))).otherwise(a)
+
+    for r in range(ROUNDS):
+        values = _let(values, add(FAN**r))
+    return values
+
+
+def _placed(kind: str, text: Column) -> Column:
+    """All matches of a kind: (m, start, end, near), near being the WINDOW code points before the match."""
+    found, gaps = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), 0), F.split(text, PATTERNS[kind])
+    last = lambda x: F.right(x, F.lit(WINDOW))
+    pieces = F.filter(F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), F.char_length(m).alias("n"), F.char_length(g).alias("gap"), last(g).alias("last"))), lambda x: x["m"].isNotNull())
+
+    def place(p: Column) -> Column:
+        ends = _sums(F.transform(p, lambda x: x["gap"] + x["n"]))
+        before = lambda a, i: F.aggregate(F.sequence(F.least(F.lit(NEAR - 1), i), F.lit(0), F.lit(-1)), F.lit(""), lambda s, j: last(F.concat(s, F.get(a, i - j))))
+        tails = _let(F.transform(p, lambda x: last(F.concat(x["last"], x["m"]))), lambda a: F.transform(a, lambda _, i: before(a, i)))
+        ended = F.zip_with(p, ends, lambda x, e: F.struct(x["m"].alias("m"), (e - x["n"]).alias("start"), e.alias("end"), x["last"].alias("last")))
+        return F.zip_with(ended, F.concat(F.array(F.lit("")), tails), lambda x, t: F.struct(x["m"].alias("m"), x["start"].alias("start"), x["end"].alias("end"), last(F.concat(t, x["last"])).alias("near")))
+
+    return F.filter(_let(pieces, place), lambda x: x["m"].isNotNull())
+
+
 def _spans(kind: str, text: Column) -> Column:
     """All confirmed matches of a kind: (kind, start, end, score), by start."""
-    found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), 0)
-    gaps = F.split(text, PATTERNS[kind])
-    lengths = F.zip_with(found, F.slice(gaps, 1, F.greatest(F.size(found), F.lit(0))), lambda m, g: F.struct(m.alias("m"), F.char_length(g).alias("gap"), F.char_length(m).alias("n")))
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<m:string,start:int,end:int>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + x["gap"]
-        return F.struct((start + x["n"]).alias("at"), F.array_append(s["out"], F.struct(x["m"].alias("m"), start.alias("start"), (start + x["n"]).alias("end"))).alias("out"))
 
     def scored(x: Column) -> Column:
-        near = F.lower(F.substring(text, F.greatest(x["start"] - WINDOW, F.lit(0)) + 1, F.least(x["start"], F.lit(WINDOW))))
-        score = F.lit(SCORES[kind]) + F.when(near.rlike(f"(?<![a-z])(?:{CONTEXT[kind]})"), BONUS).otherwise(0.0)
+        score = F.lit(SCORES[kind]) + F.when(F.lower(x["near"]).rlike(f"(?<![a-z])(?:{CONTEXT[kind]})"), BONUS).otherwise(0.0)
         return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.round(F.least(score, F.lit(1.0)), 2).alias("score"))
 
-    placed = F.filter(F.aggregate(lengths, none, step)["out"], lambda x: _valid(kind, x["m"]))
-    spans = F.transform(placed, scored)
+    spans = F.transform(F.filter(_placed(kind, text), lambda x: _valid(kind, x["m"])), scored)
     spans = spans if kind in BASE else F.filter(spans, lambda x: x["score"] >= THRESHOLD)
     empty = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
     return F.when(text.rlike(PATTERNS[kind]), spans).otherwise(empty)
