@@ -84,12 +84,15 @@ def test_substring_dedup(docs, empty):
 def test_suffix_dedup(docs, empty):
     held = collections.defaultdict(set)
     words = collections.defaultdict(list)
-    for i, t, *_ in corpus():
+    rows = [*corpus(), (None, corpus()[20][1], None, None, 0, "a", "b", "c"), (None, "n " * 60, None, None, 0, "a", "b", "c"), (None, "m " * 60, None, None, 0, "a", "b", "c")]
+    docs = docs.sparkSession.createDataFrame(rows, SCHEMA)
+    for n, (i, t, *_) in enumerate(rows):
+        i = ("row", n) if i is None else i  # each row without an id is a document of its own
         w = WORD.findall(t or "")
         words[i].append(w)
         for p in range(len(w) - 49):
             held[tuple(w[p : p + 50])].add(i)
-    want = {(i, j) for i, ws in words.items() for w in ws for p in range(len(w) - 49) if len(held[tuple(w[p : p + 50])]) > 1 for j in range(p, p + 50)}
+    want = {(None if isinstance(i, tuple) else i, j) for i, ws in words.items() for w in ws for p in range(len(w) - 49) if len(held[tuple(w[p : p + 50])]) > 1 for j in range(p, p + 50)}
     for size in (4 << 20, 4000):
         got = suffix_dedup.repeated_spans(docs.repartition(3), chunk_bytes=size).collect()
         assert {(g["doc_id"], j) for g in got for j in range(g["start_word"], g["end_word"])} == want
@@ -112,27 +115,53 @@ def test_suffix_dedup_of_overlapping_slices(spark):
     assert {(g["doc_id"], j) for g in got for j in range(g["start_word"], g["end_word"])} == want
 
 
-@pytest.mark.parametrize("weighted", [False, True])
-def test_near_dedup(docs, empty, weighted):
-    items = {}
-    for i, t, *_ in corpus():
+def classes(rows, weighted=False):
+    """Least id (None if there is none) of the class of each row, by comparing all pairs of texts."""
+    items, label = [], list(range(len(rows)))
+    for _, t, *_ in rows:
         w = WORD.findall(t or "")
-        if w and i is not None:
-            c = collections.Counter(tuple(w[p : p + 5]) for p in range(max(1, len(w) - 4)))
-            items[i] = c if weighted else collections.Counter(set(c))
-    label = {i: i for i in items}
-    for a in items:
-        for b in items:
-            if a < b and sum((items[a] & items[b]).values()) >= 0.8 * sum((items[a] | items[b]).values()):
+        c = collections.Counter(tuple(w[p : p + 5]) for p in range(max(1, len(w) - 4))) if w else collections.Counter()
+        items.append(c if weighted else collections.Counter(set(c)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if items[a] and sum((items[a] & items[b]).values()) >= 0.8 * sum((items[a] | items[b]).values()):
                 old, new = max(label[a], label[b]), min(label[a], label[b])
-                label = {k: new if v == old else v for k, v in label.items()}
-    got = near_dedup.near_classes(docs, weighted=weighted).collect()
-    assert len(got) == len(corpus())
-    for g in got:
-        assert g["class_id"] == label.get(g["doc_id"], g["doc_id"])
+                label = [new if x == old else x for x in label]
+    ids = collections.defaultdict(list)
+    for r, x in zip(rows, label, strict=True):
+        ids[x].append(r[0])
+    return label, [min((i for i in ids[x] if i is not None), default=None) for x in label]
+
+
+#: Texts that share an id, rows without an id, and repeated rows.
+T, U = " ".join(f"t{i}" for i in range(60)), " ".join(f"u{i}" for i in range(60))
+REPEATED = [(1, T), (5, T + " q"), (5, U), (7, U + " q"), (None, T + " r"), (None, "alone " * 9), (None, "alone " * 9), (7, U + " q"), (9, "")]
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_near_dedup(spark, docs, empty, weighted):
+    rows = [*corpus(), *((None if i is None else 100 + i, t, None, None, 0, "a", "b", "c") for i, t in REPEATED)]
+    got = near_dedup.near_classes(spark.createDataFrame(rows, SCHEMA), weighted=weighted).collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter((r[0], c) for r, c in zip(rows, classes(rows, weighted)[1], strict=True))
     assert near_dedup.near_classes(empty).count() == 0
 
 
+def test_near_dedup_of_a_hub(spark):
+    """One class that holds most texts, among others; and its recall against all pairs, for ids divisible by 50."""
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(700):
+        w = list(base) if i % 3 else [f"x{r.randrange(10**6)}" for _ in range(80)]
+        if i % 3:
+            w[r.randrange(80)] = f"y{i}"
+        rows.append((i, " ".join(w)))
+    got = {g["doc_id"]: g["class_id"] for g in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: {tuple(w[p : p + 5]) for p in range(76)} for i, t in rows for w in [t.split()]}
+    pairs = [(a, b) for a in range(0, 700, 50) for b in sets if a != b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(pairs) > 500 and all(got[a] == got[b] for a, b in pairs)
+
+
 def test_signatures_estimate_similarity():
     r = np.random.default_rng(1)
     common, rest = r.integers(1, 1 << 62, 800, dtype=np.uint64), r.integers(1, 1 << 62, 400, dtype=np.uint64)
@@ -274,6 +303,72 @@ def test_language_id(spark, docs, empty):
     assert language_id.language_id(docs).count() == len(corpus()) and language_id.language_id(empty).count() == 0
 
 
+def kneser_ney(texts):
+    """log p of a letter after a context (a string, "#" for a word's bounds), by the definition of interpolated Kneser-Ney."""
+    words = collections.Counter(w for t in texts for w in t.split())
+    grams = {n: collections.Counter() for n in range(1, 6)}
+    for w, k in words.items():
+        x = f"#{w}#"
+        for n in range(1, 6):
+            for e in range(max(2, n), len(x) + 1):
+                grams[n][x[e - n : e]] += k
+    count = {5: grams[5]}
+    for n in range(4, 0, -1):
+        more = collections.Counter(g[1:] for g in grams[n + 1])
+        count[n] = {g: (k if n > 1 and g[0] == "#" else max(1, more[g])) for g, k in grams[n].items()}
+    discount = {}
+    for n in count:
+        one, two = (sum(1 for k in count[n].values() if k == m) for m in (1, 2))
+        discount[n] = min(0.95, max(0.1, one / max(1, one + 2 * two)))
+    letters = len(grams[1])
+
+    def p(context, x):
+        n = len(context) + 1
+        lower = p(context[1:], x) if n > 1 else 1 / (letters + 1)
+        seen = {g: k for g, k in count[n].items() if g[:-1] == context}
+        if not seen:
+            return lower
+        return (max(seen.get(context + x, 0) - discount[n], 0) + discount[n] * len(seen) * lower) / sum(seen.values())
+
+    return lambda word: sum(np.log(p(x[max(0, e - 4) : e], x[e])) for x in [f"#{word}#"] for e in range(1, len(x)))
+
+
+def test_language_models_by_definition(spark):
+    r = random.Random(6)
+    texts = [" ".join("".join(r.choices("abcd", k=r.randint(1, 6))) for _ in range(12)) for _ in range(4)]
+    model = language_id.train(spark.createDataFrame([("xx", False, t) for t in texts], "lang string, held boolean, text string"))
+    want = kneser_ney(texts)
+    words = sorted({w for t in texts for w in t.split()})[:25] + ["abcdabcd", "dd", "a"]
+    assert model.words(words)[0][:, 0] == pytest.approx([want(w) for w in words], rel=1e-5, abs=1e-4)
+
+
+def test_every_language_is_learnt(spark):
+    """250 languages, words parted by what only some split at, whole long texts, and a wrong label."""
+    r = random.Random(8)
+    words = {f"l{n:03}": ["".join(r.choices("abcdefghijklmnop", k=5)) for _ in range(12)] for n in range(250)}
+    rows = [(i, "\u3000".join(r.choices(w, k=30)) if i % 2 else " ".join(r.choices(w, k=30)), x) for i, (x, w) in enumerate((x, w) for x, w in words.items() for _ in range(12))]
+    rows += [(9000 + i, "щука " * 30, "l000") for i in range(1)] + [(9500, "жук " * 40, None)]
+    got = {g["doc_id"]: g for g in language_id.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert sum(got[i]["lang_pred"] == x for i, _, x in rows[:3000]) >= 2990 and len({got[i]["lang_pred"] for i in range(3000)}) == 250
+    assert got[9500]["rejected"] and sum(got[i]["rejected"] for i in range(3000)) <= 5
+
+
+def test_pii_grows_with_matches(spark):
+    import time
+
+    def seconds(n):
+        text = "mail a@b.co 1.2.3.4 " * n
+        frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        got = pii.pii_digest(frame).collect()[0]
+        assert got["n_email"] == got["n_ip"] == n and got["spans"].endswith(f"ip:{20 * n - 8}:{20 * n - 1}")
+        return time.time() - began
+
+    seconds(100)
+    small = seconds(16_000)
+    assert seconds(64_000) < 6 * small
+
+
 def test_pii(spark, docs, empty):
     texts = ["", None, "a@b.com_x@c.org é mail me: é.f@g-h.co.uk", "1.2.3.4.5 300.1.1.1 0001.2.3.04", "card 4785 3805 9239 1139, 4111-1111-1111-1111 4111111111111112", "+49 (0)30 1234-567 and +1 2", "iban GB82 WEST 1234 5698 7654 32", "ssn 123-45-6789 or 123-45-6789", "1 " * 5000, "9" * 20000, "a" * 20000 + "@b"]
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
@@ -292,19 +387,23 @@ def test_pii(spark, docs, empty):
     assert pii.pii_digest(docs).count() == len(corpus()) and pii.pii_digest(empty).count() == 0
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("shard_rows", [200, 40])
+def test_top_k(spark, monkeypatch, shard_rows):
+    monkeypatch.setattr(topk, "LEAF_ROWS", 16)
     r = np.random.default_rng(2)
-    x = r.normal(size=(900, 8)).round(2)
+    x = r.normal(size=(903, 8)).round(2)
     x[7] = x[3]
-    rows = [(i - 40, [float(v) for v in x[i]], 1) for i in range(900)]
-    rows += [(2000, None, 1), (2020, [float("nan")] * 8, 1), (2040, [None] * 8, 1), (2060, [1.0, 2.0], 1), (None, [1.0] * 8, 1)]
-    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), k=5, shard_rows=200).collect()
+    ids = np.arange(903) - 40
+    ids[900:] = 20, 20, 21
+    x[901] = x[60]  # the same id and vector as another row; x[900] has that id and a vector of its own
+    rows = [(int(i), [float(v) for v in y], 1, 2, 3) for i, y in zip(ids, x, strict=True)]
+    rows += [(2000, None, 1, 2, 3), (2020, [float("nan")] * 8, 1, 2, 3), (2040, [None] * 8, 1, 2, 3), (2060, [1.0, 2.0], 1, 2, 3), (None, [1.0] * 8, 1, 2, 3)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, shard int, block int, rank int"), k=5, shard_rows=shard_rows).collect()
     q = np.floor(64 * x).astype(int)
-    ids = np.arange(900) - 40
-    want = set()
+    want = collections.Counter()
     for i in np.flatnonzero(ids % 20 == 0):
         s = q @ q[i]
         for rank, j in enumerate([j for j in np.lexsort((ids, -s)) if j != i][:5]):
-            want.add((int(ids[i]), rank + 1, int(ids[j]), int(s[j])))
-    assert {tuple(g) for g in got} == want
+            want[int(ids[i]), rank + 1, int(ids[j]), int(s[j])] += 1
+    assert collections.Counter(tuple(g) for g in got) == want
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0

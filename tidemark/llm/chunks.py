@@ -70,15 +70,26 @@ def build(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK_
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"tidemark_chunks_{uuid.uuid4().hex}"
     made.write.option("path", shared_dir(spark)).option("compression", "zstd").bucketBy(buckets, "chunk").sortBy("chunk").saveAsTable(name)
-    table = spark.table(name)
+    table = spark.table(name)  # keeps its files and buckets when the catalogue forgets the name
+    spark.sql(f"drop table {name}")
     size = table.agg(F.sum("n_bytes")).first()[0] or 0
     return table, max(1, -(-size // RANGE_BYTES)), size
 
 
+#: Ids below this stand for rows without an id.
+NAMELESS = -(1 << 62)
+
+
 def open_chunk(table: pa.Table) -> tuple[int, np.ndarray, pa.Array, Words]:
-    """(number, ids with nulls as the least long, ids, words) of a chunk's only row."""
+    """(number, ids, ids as they are, words) of a chunk's only row.
+
+    Each row without an id gets one of its own, less than any real one: 20 bits of the partition that
+    made the chunk, 20 of the chunk within it, 22 of the row (rows without words may share one).
+    """
     ids, texts = (table.column(c).combine_chunks().flatten() for c in ("ids", "texts"))
-    return table.column("chunk")[0].as_py(), ids.fill_null(np.iinfo(np.int64).min).to_numpy(), ids, Words(*buffers(texts))
+    number, w = table.column("chunk")[0].as_py(), Words(*buffers(texts))
+    own = np.iinfo(np.int64).min + (((number >> 32) << 42) | ((number & 0xFFFFFFFF) << 22)) + (np.cumsum(w.counts > 0) & 0x3FFFFF)
+    return number, np.where(ids.is_null().to_numpy(zero_copy_only=False), own, ids.fill_null(0).to_numpy()), ids, w
 
 
 def send(chunk: int, level: int, hashes: np.ndarray, parts: int, bits: int, more: np.ndarray | None = None, ids: np.ndarray | None = None, keep: bytes = b"") -> list[tuple]:
@@ -104,7 +115,7 @@ def sent_table(rows: list[tuple]) -> pa.Table:
     return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
 
 
-def answer(sent: DataFrame, first: bool = False) -> DataFrame:
+def answer(sent: DataFrame, parts: int, first: bool = False) -> DataFrame:
     """One bit for each hash sent: whether another chunk holds it too; with `first`, whether an earlier
     text does (a smaller id, or the same id in a smaller chunk).  Kept bits come back as part -1."""
 
@@ -127,7 +138,8 @@ def answer(sent: DataFrame, first: bool = False) -> DataFrame:
         bits = [np.packbits(bit[e - m : e]).tobytes() for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
         return pa.table({"chunk": table.column("chunk"), "level": table.column("level"), "part": table.column("part"), "bits": pa.chunked_array([pa.array(bits, pa.binary())])})
 
-    told = sent.filter("kind = 0").groupBy("part").applyInArrow(reduce, ANSWER)
+    # One task a range: hashing the few range numbers would put several into one.
+    told = sent.filter("kind = 0").repartitionById(parts, "part").groupBy("part").applyInArrow(reduce, ANSWER)
     return told.unionByName(sent.filter("kind = 1").select("chunk", "level", F.lit(-1).alias("part"), F.col("hashes").alias("bits")))
 
 

@@ -37,17 +37,29 @@ def _unit(*key: Column | str) -> Column:
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3) -> DataFrame:
-    """rank, weight, target for rows of (source, source_size, n_docs); sources by code point, null last."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
+    """rank, weight, target for rows of (source, source_size, n_docs); sources by code point, null last.
+
+    Sources are sorted by range and numbered within each range.  What full sources leave over is shared
+    anew, round by round, until no further one is full; a round is one sum over the sources.
+    """
+    order = F.col("source").asc_nulls_last()
+    s = materialise(sources.repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
+    before, sizes = 0, {}
+    for r in sorted(s.groupBy("_range").count().collect()):  # one row a range
+        sizes[r["_range"]], before = before, before + r["count"]
+    first = F.element_at(F.create_map(*(F.lit(x) for kv in sizes.items() for x in kv)), F.col("_range")) if sizes else F.lit(0)
+    s = s.withColumn("rank", (first + F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1).cast("int"))
     w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.pmod(F.col("rank"), F.lit(len(weights))) + 1).cast("int"))
-    s = sources.withColumn("rank", F.row_number().over(order) - 1).withColumn("weight", w).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    fill = Window.orderBy((F.col("cap") / F.col("weight")).asc(), "rank")
-    by, whole = fill.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    s = s.withColumn("turn", F.row_number().over(fill)).withColumn("level", (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(by), F.lit(0.0))) / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(by), F.lit(0.0))))
-    # Sources stand by the level at which they are full; the first that isn't full sets the level for all after it.
-    full = F.col("level") * F.col("weight") >= F.col("cap")
-    s = s.withColumn("open", F.min(F.when(~full, F.struct("turn", "level"))).over(whole)["level"])
-    return s.withColumn("target", F.when(F.col("open").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("open") * F.col("weight")))).drop("turn", "level", "open", "cap")
+    s = materialise(s.drop("_range").withColumn("weight", w).withColumn("cap", F.col("source_size") * F.lit(float(most))))
+    total, level, known = float(s.agg(F.sum("source_size")).first()[0] or 0), 0.0, -1
+    while True:
+        full = F.lit(level) * F.col("weight") >= F.col("cap") if known >= 0 else F.lit(False)
+        n, caps, open_ = s.agg(F.count_if(full), F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("weight")))).first()
+        if n == known or open_ is None:
+            break
+        known, level = n, (total - (caps or 0.0)) / open_
+    target = F.col("cap") if open_ is None else F.least(F.col("cap"), F.lit(level) * F.col("weight"))
+    return s.withColumn("target", target).drop("cap")
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -140,7 +152,7 @@ def plan(docs: DataFrame, seed: int = 7, weights: tuple[float, ...] = (1, 2, 3),
     stop = blocks.join(many, ["rank", "many"])
     stop = stop.withColumn("before", F.col("before") + F.sum("words").over(Window.partitionBy("rank").orderBy("block")) - F.col("words"))
     stop = stop.filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest"))).select(F.col("rank"), F.col("block").alias("stop"), "before")
-    inside = texts.join(F.broadcast(stop), "rank").filter("block = stop")
+    inside = texts.join(stop.withColumn("block", F.col("stop")), ["rank", "block"])
     inside = inside.groupBy("rank", "stop").agg(F.array_sort(F.collect_list(F.struct("key", "size"))).alias("texts"), F.max(F.col("rest") - F.col("before")).alias("room"))
     ends = inside.withColumn("f", _fill(F.col("texts"), F.col("room"))).select("rank", "stop", F.col("f.last").alias("last_key"), F.when(F.col("f.miss.size") < 2 * F.col("f.room"), F.array_append("f.more", F.col("f.miss.key"))).otherwise(F.col("f.more")).alias("more"))
     sources = materialise(sources.join(ends, "rank", "left"))
@@ -232,10 +244,15 @@ def shard_mix(docs: DataFrame, shards: int = SHARDS, seed: int = 7, weights: tup
 def take(docs: DataFrame, shards: int = SHARDS, seed: int = 7, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: every row with all its columns, shard and place, as often as it is taken, shuffled within its shard.
 
-    A shard lies in SLICES runs of places, each whole and in order in one partition.
+    A shard lies in SLICES runs of places, each whole and in order in one partition.  Where docs has
+    columns of these names the new ones are called _shard and _place, with as many underscores as it takes.
     """
     _, sources = plan(docs, seed, weights, most, id_col, text_col, source_col)
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
     taken = _placed(_copies(_with_source(rows, _dealt(sources, shards, seed)), seed), seed).select("_row", F.inline("placed"))
     piece = F.shiftright("place", 64 - (SLICES - 1).bit_length())
-    return taken.repartition("shard", piece).sortWithinPartitions("shard", "place").select("_row.*", "shard", "place")
+    names = {c: c for c in ("shard", "place")}
+    for c in names:
+        while names[c].lower() in map(str.lower, docs.columns):
+            names[c] = "_" + names[c]
+    return taken.repartition("shard", piece).sortWithinPartitions("shard", "place").select("_row.*", *(F.col(c).alias(n) for c, n in names.items()))

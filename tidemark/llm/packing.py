@@ -86,13 +86,15 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, see
     """Every piece with its sequence_id and offset; sequences are gapless from offset 0.
 
     A null or empty text is one piece of the closing id alone.  Each repeated row is packed as its
-    own text; null ids are packed too.  Ties in length go by doc_id, start and checksum, so reruns
-    agree.  An empty table gives no rows; other columns are not read.  With keep_ids the column
+    own text; null ids are packed too.  Groups are hashed from what a piece is and where it lies in
+    the input, and ties in length go by doc_id, start and checksum, so reruns over the same files agree.  An empty table gives no rows; other columns are not read.  With keep_ids the column
     `ids` holds the piece's ids as unsigned little-endian 32-bit integers, ready to be written.
     """
     groups = max(1, -(-docs.count() // group_docs))
     parts = pieces(docs, tokenizer, size, end_id, id_col, text_col, keep_ids)
-    named = parts.withColumn("grp", F.pmod(F.xxhash64("doc_id", "ids_crc32", F.lit(seed)), F.lit(groups)).cast("long"))
+    # A piece's own place is part of the hash, so that equal rows don't fill one group.
+    place_of = F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id(), F.lit(seed))
+    named = parts.withColumn("grp", F.pmod(place_of, F.lit(groups)).cast("long"))
 
     def place(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])

@@ -67,9 +67,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #: DuckDB SQL for the same rows; the other operators are held against brute force in tests/llm.
 SQL = {
     "op7_top_k": """
-with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as q from embeddings),
-s as (select a.vec_id as query_id, b.vec_id as vec_id, cast(list_dot_product(a.q, b.q) as bigint) as score from v a join v b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id),
-r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s)
+with v as (select row_number() over () as i, vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as q from embeddings),
+s as (select a.i, a.vec_id as query_id, b.vec_id as vec_id, cast(list_dot_product(a.q, b.q) as bigint) as score from v a join v b on a.vec_id % 20 = 0 and a.i <> b.i),
+r as (select query_id, cast(row_number() over (partition by i order by score desc, vec_id) as integer) as rank, vec_id, score from s)
 select query_id, rank, vec_id, score from r where rank <= 20""",
     "op10_exact_dedup": """
 with n as (select doc_id, length(coalesce(text, '')) as n, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g') as norm from documents),

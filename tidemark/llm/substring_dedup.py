@@ -108,7 +108,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, doublings: int = DOUBL
 
     answers = None
     for level in range(len(lengths)):
-        answers = C.answer(C.pass_over(table, answers, begin(level), C.SENT), first=level == len(lengths) - 1)
+        answers = C.answer(C.pass_over(table, answers, begin(level), C.SENT), parts, first=level == len(lengths) - 1)
     return C.pass_over(table, answers, finish, RESULT + ", kept_text string" * with_text)
 
 

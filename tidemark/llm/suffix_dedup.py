@@ -119,7 +119,7 @@ def suffixes(docs: DataFrame, length: int, seed: int, id_col: str, text_col: str
         row_of = w.row[at]
         return pa.table({"key": pa.array(keys.view(np.int64)), "after": binary[0], "before": binary[1], "doc_id": pa.array(ids[row_of]), "pos": pa.array((at - w.first[row_of]).astype(np.int32))})
 
-    answers = C.answer(C.pass_over(table, None, begin, C.SENT))
+    answers = C.answer(C.pass_over(table, None, begin, C.SENT), parts)
     return C.pass_over(table, answers, repeated, SUFFIX), size
 
 
@@ -129,8 +129,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_c
     All passages of at least `length` words are found; none that is shorter is told.  Ends reach at most
     length - seed words beyond the outermost selected suffix of a match, which covers the whole match.
     Words are compared by 32 bits beyond the 64-bit hash of the seed.  Rows of one id are one
-    document, and so are the rows without an id (doc_id null).  Null, empty and short texts have no
-    spans; an empty table gives no rows.  other_doc_id names one document that holds the passage.
+    document; each row without an id (doc_id null) is one of its own.  Null, empty and short texts have
+    no spans; an empty table gives no rows.  other_doc_id names one document that holds the passage
+    (null if only rows without an id do).
     """
     spark = docs.sparkSession
     found, size = suffixes(docs, length, seed, id_col, text_col, chunk_bytes)
@@ -184,7 +185,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_c
     by = Window.partitionBy("doc_id").orderBy("start", "stop")
     reach = F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1))
     part = F.sum((F.col("start") > F.coalesce(reach, F.lit(-1))).cast("int")).over(by)
-    merged = spans.groupBy("doc_id", "start").agg(F.max("stop").alias("stop"), F.min("other").alias("other")).withColumn("part", part)
-    out = merged.groupBy("doc_id", "part").agg(F.min("start").alias("a"), F.max("stop").alias("b"), F.min("other").alias("other"))
-    null = F.lit(np.iinfo(np.int64).min)
-    return out.select(F.nullif("doc_id", null).alias("doc_id"), F.col("a").cast("long").alias("start_word"), F.col("b").cast("long").alias("end_word"), (F.col("b") - F.col("a")).cast("long").alias("n_words"), F.nullif("other", null).alias("other_doc_id"))
+    merged = spans.groupBy("doc_id", "start").agg(F.max("stop").alias("stop"), F.max("other").alias("other")).withColumn("part", part)
+    out = merged.groupBy("doc_id", "part").agg(F.min("start").alias("a"), F.max("stop").alias("b"), F.max("other").alias("other"))
+    named = lambda c: F.when(F.col(c) >= C.NAMELESS, F.col(c))
+    return out.select(named("doc_id").alias("doc_id"), F.col("a").cast("long").alias("start_word"), F.col("b").cast("long").alias("end_word"), (F.col("b") - F.col("a")).cast("long").alias("n_words"), named("other").alias("other_doc_id"))
