@@ -2,19 +2,20 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and is written as
 Parquet and read again before the next.  All but the last return the columns they got; mixing adds
-shard and place.  Rows without an id pass all stages; repeated rows of one id are one document from
-the second stage on.
+shard and place (under other names where docs has columns so named).  Rows are told apart by their
+texts, so rows without an id take part in all stages, and rows that repeat an id with another text are
+documents of their own.  Only rows that are alike in every column count as one, from the second stage
+on.  Empty tables stay empty.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.exact_dedup import unique_documents
 from tidemark.llm.language_id import accepted, sample, train
 from tidemark.llm.mixing import take
-from tidemark.llm.near_dedup import near_classes
+from tidemark.llm.near_dedup import unlike_documents
 from tidemark.llm.packing import pack
 from tidemark.llm.runtime import documents, materialise
 from tidemark.llm.tokens import default_tokenizer
@@ -25,21 +26,14 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return accepted(docs, train(sample(docs, "doc_id", "text", "lang")))
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Docs but for those ids, once each; rows without an id are told apart by their text."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.sha2(F.coalesce("text", F.lit("")), 256)))
-    left = docs.withColumn("_key", key).join(dropped.select(F.col("doc_id").cast("string").alias("_key")), "_key", "left_anti")
-    return left.dropDuplicates(["_key"]).select(*docs.columns)
-
-
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    return _without(docs, exact_dedup(docs).filter("not kept").select("doc_id"))
+    """One document of each group of equal texts: the longest, of these the one with the least id."""
+    return unique_documents(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each class of near duplicates."""
-    return _without(docs, near_classes(docs).filter("class_id <> doc_id").select("doc_id"))
+    """One document, that of the least id, of each class of near duplicates; texts without words stay."""
+    return unlike_documents(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +48,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", known_language), ("exact_dedup", exact_copies), ("near_dedup", near_copies), ("mixing", mixture), ("packing", packed)]
 
-#: Language models, signatures, hashed draws and tokens can't be expressed in SQL; tests hold a brute-force version.
+#: Language models, signatures, hashed draws and tokens can't be expressed in SQL; tests/llm/test_pipeline.py
+#: holds each stage, and the whole, against a brute-force version.
 ORACLE_SQL = None
 
 
