@@ -86,13 +86,14 @@ def _sums(values: Column) -> Column:
     A fold that gathers them would copy its whole state at each element.
     """
 
-    def add(step: int) -> Callable[[Column], Column]:
-        at = lambda a, i: F.aggregate(F.sequence(F.lit(0), F.least(F.lit(FAN - 1), F.floor(i / step).cast("int"))), F.lit(0), lambda s, j: s + F.get(a, i - j * step))
-        return lambda a: F.when(F.size(a) > step, F.transform(a, lambda _, i: at(a, i))).otherwise(a)
+    def add(a: Column, step: int) -> Column:
+        at = lambda i: F.aggregate(F.sequence(F.lit(0), F.least(F.lit(FAN - 1), F.floor(i / step).cast("int"))), F.lit(0), lambda s, j: s + F.get(a, i - j * step))
+        return F.transform(a, lambda _, i: at(i))
 
-    for r in range(ROUNDS):
-        values = _let(values, add(FAN**r))
-    return values
+    def rounds(a: Column, step: int) -> Column:
+        return a if step >= FAN**ROUNDS else F.when(F.size(a) > step, _let(add(a, step), lambda b: rounds(b, step * FAN))).otherwise(a)
+
+    return _let(values, lambda a: rounds(a, 1))
 
 
 def _placed(kind: str, text: Column) -> Column:
