@@ -11,21 +11,22 @@ from pyspark.sql import functions as F
 def _checkpointed(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local") and not context.getConf().get("spark.checkpoint.dir"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tidemark-"))
     return df.checkpoint()
 
 
-def connected(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """node, component (least node) for the edges (a, b): each round takes the least label of the neighbours
-    and then the label's own label, so chains shorten by powers of two."""
+    and then the label's own label, so chains shorten by powers of two, until no label changes."""
     both = _checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = _checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         hop = labels.join(near, "node").select("node", F.least("component", "near").alias("l"), "component")
         up = labels.select(F.col("node").alias("l"), F.col("component").alias("top"))
         new = _checkpointed(hop.join(up, "l").select("node", F.least("l", "top").alias("component"), (F.col("component") != F.least("l", "top")).alias("moved")))
         labels = new.select("node", "component")
         if new.filter("moved").isEmpty():
-            break
-    return labels
+            return labels

@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import burst_boost, burst_std
+from .graph import _checkpointed
 from .keyed import top_per_key
 
+#: How many terms of a block are read for its keywords at first.
+FIRST_READ = 1000
+
 
 def term_counts(posts: DataFrame, block: str, key: str, terms: str) -> DataFrame:
     """block, key, term, n, total: how often each post has each term of its array, and its number of terms."""
@@ -58,7 +62,8 @@ def pick_keywords(scores: DataFrame, block: str, most: int = 30, least_df: Colum
     """block, keyword, score, place: each block's best terms, none part of a better one (from four characters on).
 
     Whether a term is taken hangs on those taken before it, so blocks are read in order as a stream that
-    holds only the terms taken so far; no block is ever in memory as a whole.
+    holds only the terms taken so far.  Only the first terms of each block are read, which Spark cuts
+    before the shuffle; a block in which these don't suffice is read again further down.
     """
     import pandas as pd
 
@@ -79,7 +84,15 @@ def pick_keywords(scores: DataFrame, block: str, most: int = 30, least_df: Colum
                 out.append((b, term, score, len(taken)))
             yield pd.DataFrame(out, columns=[block, "keyword", "score", "place"])
 
-    return scores.select(block, "term", "score").repartition(F.col(block)).sortWithinPartitions(block, F.desc("score"), "term").mapInPandas(walk, kind)
+    scores = _checkpointed(scores.select(block, "term", "score"))
+    sizes, read = scores.groupBy(block).agg(F.count(F.lit(1)).alias("n")), FIRST_READ
+    while True:
+        some = top_per_key(scores, [block], [F.desc("score"), F.col("term")], read, "at")
+        picked = _checkpointed(some.select(block, "term", "score").repartition(F.col(block)).sortWithinPartitions(block, F.desc("score"), "term").mapInPandas(walk, kind))
+        short = picked.groupBy(block).agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") < most)
+        if short.join(sizes.filter(F.col("n") > read), block, "left_semi").isEmpty():
+            return picked
+        read *= 16
 
 
 def matches(posts: DataFrame, keywords: DataFrame, block: str, key: str, tokens: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
@@ -53,7 +54,8 @@ def t08(t):
 
 
 def doc_scores(t):  # noqa: ANN001, ANN201
-    counts, stats = doc_counts(t), K.idf(doc_counts(t), "lang", "doc_id")
+    counts = P._checkpointed(doc_counts(t))  # texts are cut into terms once
+    stats = P._checkpointed(K.idf(counts, "lang", "doc_id"))
     weights = t("documents").select("lang", "doc_id", scoring.engagement_weight(F.col("n_chars"), F.lit(0), F.lit(0), F.lit(0)).alias("weight"))
     return K.keyword_scores(counts, stats, K.generic_terms(stats, "lang"), weights, "lang", "doc_id", K.phrase_boost(F.col("term")))
 
@@ -113,9 +115,9 @@ def g01(t):
 @query("u09_merged_issues", "select issue as component, string_agg(distinct region_id, ',' order by region_id) as regions, round(sum(heat), 3) as heat, min(created_at) as first_at, count(*) as n from topics group by 1")
 def u09(t):
     x = t("topics")
-    # Topics of one issue hang together through the first of them; groups are what is connected.
-    first = x.groupBy("issue").agg(F.min("id").alias("b"))
-    groups = connected(x.join(first, "issue").select(F.col("id").alias("a"), "b"))
+    # Topics of one issue hang together in a chain, each with the one before it; groups are what is connected.
+    before = F.lag("id").over(Window.partitionBy("issue").orderBy("created_at", "id"))
+    groups = connected(x.select(F.col("id").alias("a"), F.coalesce(before, F.col("id")).alias("b")))
     y = x.join(groups.withColumnRenamed("node", "id"), "id").groupBy("component").agg(F.max("issue").alias("issue"), F.array_join(F.array_sort(F.collect_set("region_id")), ",").alias("regions"), F.round(F.sum("heat"), 3).alias("heat"), F.min("created_at").alias("first_at"), F.count(F.lit(1)).alias("n"))
     return y.select(F.col("issue").alias("component"), "regions", "heat", "first_at", "n")
 

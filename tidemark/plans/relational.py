@@ -283,10 +283,10 @@ def w14(t):
     return t("topics").select("id", display_heat(F.col("heat"), F.max("heat").over(Window.partitionBy("region_id"))).alias("display"))
 
 
-@query("w16_three_failures", "select source_id from (select source_id, status, row_number() over (partition by source_id order by started_at desc, id desc) as r from runs) where r <= 3 group by 1 having count(*) = 3 and bool_and(status <> 'success')")
+@query("w16_three_failures", "select source_id from (select source_id, status, latency_ms, row_number() over (partition by source_id order by started_at desc, id desc) as r from runs) where r <= 3 group by 1 having count(*) = 3 and bool_and(status <> 'success' or latency_ms > 300)")
 def w16(t):
     last = top_per_key(t("runs"), ["source_id"], [F.desc("started_at"), F.desc("id")], 3)
-    return last.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("status") != "success").alias("bad")).filter("n = 3 and bad").select("source_id")
+    return last.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and((F.col("status") != "success") | (F.col("latency_ms") > 300)).alias("bad")).filter("n = 3 and bad").select("source_id")
 
 
 @query("t01_nulls_last", "select id, nullif(rank, 5) as rank from topics where heat > 250000 order by heat desc nulls last, nullif(rank, 5) asc nulls last, id limit 50")
