@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import materialise
-from .words import Words, distinct, mix64, slices, worker_cache
+from .words import Words, distinct, mix64, slices, tidy, worker_cache
 
 SAMPLE_DOCS, SAMPLE_ROWS = 400, 20_000
 #: Of a language's sample every FOLDth text is held back to calibrate on.
 FOLD = 5
 ORDER, UNKNOWN, UNDECIDED = 5, -14.0, "und"
 GAP = "[\\x20\\x09-\\x0D]+"
-SLICE_BYTES, CACHE_NUMBERS = 2 << 20, 2_400_000
+SLICE_BYTES, CACHE_NUMBERS = 1 << 20, 1_600_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -105,21 +105,19 @@ class Model:
         left = left[(g.depth[left] > 1) | (g.codes[left] > 0)]  # a chunk without letters predicts nothing
         used = np.bincount(g.word[left], minlength=len(chunks))[: len(chunks)]
         strange = _lookup(self.letters, g.codes) < 0
+        # Each distinct n-gram is looked up once a language; what isn't found backs off to the order below.
+        kinds = [np.unique(k, return_inverse=True) for k in g.keys]
+        before = np.maximum(np.arange(len(g.codes)) - 1, 0)
         sums = np.zeros((len(chunks), len(self.parts)), dtype=np.float32)
         for l, part in enumerate(self.parts):
-            total, want = np.zeros(len(g.codes)), left
-            for n in range(ORDER, 0, -1):
-                here = want[g.depth[want] >= n - 1]
-                row = _lookup(part.keys, g.keys[n - 1][here])
-                total[here[row >= 0]] += part.logp[row[row >= 0]]
-                miss = here[row < 0]
-                if n > 1:
-                    context = _lookup(part.keys, g.keys[n - 2][miss - 1])
-                    total[miss[context >= 0]] += part.backoff[context[context >= 0]]
-                    want = np.concatenate([want[g.depth[want] < n - 1], miss])
-                else:
-                    total[miss] += np.where(strange[miss], UNKNOWN, part.floor)
-            sums[:, l] = np.bincount(g.word[left], total[left], minlength=len(chunks))[: len(chunks)]
+            p, weight = np.where(strange, UNKNOWN, part.floor), np.zeros(len(g.codes))
+            for n, (keys, back) in enumerate(kinds):
+                row = _lookup(part.keys, keys)
+                there = row >= 0
+                lower = p + weight[before] if n else p
+                p = np.where(g.depth >= n, np.where(there[back], np.where(there, part.logp[row], 0.0)[back], lower), p)
+                weight = np.where(there, part.backoff[row], 0.0)[back]
+            sums[:, l] = np.bincount(g.word[left], p[left], minlength=len(chunks))[: len(chunks)]
         return sums, used
 
 
@@ -231,7 +229,7 @@ def _calibrate(model: Model, held: DataFrame) -> Model:
                 gap = np.partition(h, 1, axis=1)[:, 1] - h.min(1) if h.shape[1] > 1 else np.full(len(on), 9.0)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, w.rows).take(pa.array(on)), pa.array(h.argmin(1).astype(np.int32)), pa.array(h.min(1).astype(float)), pa.array(gap * np.sqrt(used[on]))], ["lang", "best", "h", "margin"])
 
-    rows = held.select("lang", "text").mapInArrow(measure, "lang string, best int, h double, margin double").collect()
+    rows = held.select("lang", "text").mapInArrow(tidy(measure), "lang string, best int, h double, margin double").collect()
     shared.unpersist()
     right = np.array([model.languages[r["best"]] == r["lang"] for r in rows])
     if rows:
@@ -304,7 +302,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 names, mark, h0, bad = _predictions(scorer, w)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, w.rows), pa.array(names, pa.string()), pa.array(mark), pa.array(h0, from_pandas=True), pa.array(bad)], ["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(score, "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(tidy(score), "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -319,7 +317,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             for a, w in slices(b.column(place), SLICE_BYTES):
                 yield b.slice(a, w.rows).filter(pa.array(~_predictions(scorer, w)[3]))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

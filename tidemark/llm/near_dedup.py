@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .runtime import keep_rows, materialise, row_mark, salted_join
-from .words import Words, mix64, slices, worker_cache
+from .words import FAMILIES, Words, mix64, slices, tidy, worker_cache
 
 SHINGLE, SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 25, 5
 #: Rank cells are [0, FIRST), [FIRST, 2 FIRST), [2 FIRST, 4 FIRST), ...
@@ -95,8 +95,6 @@ def shingles(w: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
 
 def whole_texts(w: Words, hashes: np.ndarray, family: int) -> np.ndarray:
     """Hash of each row's whole word sequence."""
-    from .words import FAMILIES
-
     return FAMILIES[family].spans(hashes, w.first[:-1], w.first[1:])
 
 
@@ -107,7 +105,7 @@ def text_keys(w: Words) -> pa.Array:
 
 
 def signatures(docs: DataFrame, bands: int, band_rows: int, size: int, weighted: bool) -> DataFrame:
-    """doc_id, mark, text_key, bands of rows (doc_id, mark, text)."""
+    """doc_id, mark, text_key, head (its first 64 bits), bands of rows (doc_id, mark, text)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("none", bool)
@@ -127,14 +125,15 @@ def signatures(docs: DataFrame, bands: int, band_rows: int, size: int, weighted:
                     band = mix64(band * np.uint64(0x9E3779B97F4A7C15) ^ sig[:, :, i])
                 flat = pa.array(band.view(np.int64).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(w.rows + 1, dtype=np.int32) * bands), flat)
-                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(a, w.rows) for i in (0, 1)), text_keys(w), lists], ["doc_id", "mark", "text_key", "bands"])
+                head = pa.array(whole_texts(w, w.hashes(), 0).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(a, w.rows) for i in (0, 1)), text_keys(w), head, lists], ["doc_id", "mark", "text_key", "head", "bands"])
 
-    return docs.select("doc_id", "mark", "text").mapInArrow(sign, "doc_id long, mark long, text_key binary, bands array<long>")
+    return docs.select("doc_id", "mark", "text").mapInArrow(tidy(sign), "doc_id long, mark long, text_key binary, head long, bands array<long>")
 
 
 def shingle_sets(texts: DataFrame, size: int, weighted: bool) -> DataFrame:
     """node, items: the sorted distinct shingles (with their occurrence numbers mixed in if weighted) of rows
-    (node, text_key, text) whose text has that key."""
+    (node, head, text) whose text has a key that begins so."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("none", bool)
@@ -152,9 +151,9 @@ def shingle_sets(texts: DataFrame, size: int, weighted: bool) -> DataFrame:
                     row, key = row[~same], key[~same]
                 at = np.searchsorted(row, np.arange(w.rows + 1)).astype(np.int32)
                 out = pa.RecordBatch.from_arrays([b.column(0).slice(a, w.rows), pa.ListArray.from_arrays(pa.array(at), pa.array(key.view(np.int64)))], ["node", "items"])
-                yield out.filter(pa.compute.equal(b.column(1).slice(a, w.rows).cast(pa.binary()), text_keys(w)))
+                yield out.filter(pa.array(b.column(1).slice(a, w.rows).to_numpy() == whole_texts(w, w.hashes(), 0).view(np.int64)))
 
-    return texts.select("node", "text_key", "text").mapInArrow(sets, "node long, items array<long>")
+    return texts.select("node", "head", "text").mapInArrow(tidy(sets), "node long, items array<long>")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -190,7 +189,7 @@ def rare_heads(sets: DataFrame, similarity: float) -> DataFrame:
             row, items, place = row[chosen], items[order][chosen], place[chosen]
             yield pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(row)) for i in (0, 2, 3, 4)), pa.array(n[row].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(items)], ["node", "label", "hub", "d", "n", "place", "item"])
 
-    return sets.select("node", "items", "label", "hub", "d").mapInArrow(head, "node long, label long, hub long, d double, n int, place int, item long")
+    return sets.select("node", "items", "label", "hub", "d").mapInArrow(tidy(head), "node long, label long, hub long, d double, n int, place int, item long")
 
 
 def _classes(docs: DataFrame, similarity: float, size: int, bands: int, band_rows: int, weighted: bool, id_col: str, text_col: str) -> DataFrame:
@@ -203,7 +202,7 @@ def _classes(docs: DataFrame, similarity: float, size: int, bands: int, band_row
     signed = materialise(signatures(narrow, bands, band_rows, size, weighted))
     known = signed.filter("text_key is not null")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
-    folded = known.groupBy("text_key").agg(first.alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    folded = known.groupBy("text_key").agg(first.alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("head").alias("head"))
     folded = materialise(folded.withColumn("node", F.monotonically_increasing_id()))
     bucket = folded.select(F.explode("bands").alias("band"), "node")
     shared = bucket.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -214,7 +213,7 @@ def _classes(docs: DataFrame, similarity: float, size: int, bands: int, band_row
     placed = materialise(members.join(pivots, "band").select("band", "node", "pivot"))
     pairs = materialise(placed.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
     # The sets of all that share a bucket are made once; later rounds need no texts.
-    wanted = placed.select("node").distinct().join(folded, "node").select("node", "text_key", F.col("first.mark").alias("mark"))
+    wanted = placed.select("node").distinct().join(folded, "node").select("node", "head", F.col("first.mark").alias("mark"))
     texts = narrow.join(wanted.hint("merge"), "mark").dropDuplicates(["mark", "node"])
     sets = materialise(shingle_sets(texts, size, weighted))
     scored = materialise(_verify(pairs, sets))
@@ -244,7 +243,7 @@ def _classes(docs: DataFrame, similarity: float, size: int, bands: int, band_row
     named = materialise(named)
     best = named.groupBy("label").agg(F.min("first").alias("best"), F.count(F.lit(1)).alias("n"))
     classes = materialise(salted_join(named.drop("first"), best, "label", "n", named.count()).select("text_key", "copies", "best"))
-    told = salted_join(signed.drop("bands"), classes, "text_key", "copies", signed.count())
+    told = salted_join(signed.drop("bands", "head"), classes, "text_key", "copies", signed.count())
     alone = F.when(F.col("text_key").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id"))
     return told.select("doc_id", "mark", alone.alias("class_id"), F.col("best.mark").alias("best"), F.col("best.doc_id").alias("best_id"))
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tokens import SLICE_BYTES, encoder
-from .words import slices
+from .words import slices, tidy
 
 GROUP_DOCS = 4096
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -79,7 +79,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, i
                 out = [b.column(0).take(pa.array(row + a)), *(pa.array(x, pa.int64()) for x in (start, length, [zlib.crc32(x) for x in body], total[row]))]
                 yield pa.RecordBatch.from_arrays(out + [pa.array(body, pa.binary())] * keep_ids, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 5 + keep_ids])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(cut, PIECE + ", ids binary" * keep_ids)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(tidy(cut), PIECE + ", ids binary" * keep_ids)
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", group_docs: int = GROUP_DOCS, keep_ids: bool = False) -> DataFrame:

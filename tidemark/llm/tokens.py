@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Words, slices, worker_cache
+from .words import Words, slices, tidy, worker_cache
 
 #: Bytes of text encoded at a time, and distinct chunks kept by a worker before it starts anew.
-SLICE_BYTES, CACHE_WORDS, JOINED = 2 << 20, 600_000, 200
+SLICE_BYTES, CACHE_WORDS, JOINED = 1 << 20, 400_000, 200
 
 
 class ChunkEncoder:
@@ -131,4 +131,4 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
             nbytes, n = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in (zip(*got, strict=True) if got else ((), ())))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nbytes, pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(tidy(count), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -102,14 +102,17 @@ class Words:
         self.ends = np.flatnonzero(inside & ~after[1:]) + 1
         self.row = np.searchsorted(offsets, self.starts, side="right") - 1
         self.first = np.searchsorted(self.row, np.arange(self.rows + 1))
+        self._hashes: dict[int, np.ndarray] = {}
 
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
     def hashes(self, family: int = 0) -> np.ndarray:
-        f = FAMILIES[family]
-        return f.spans(f.table[self.data], self.starts, self.ends)
+        if family not in self._hashes:
+            f = FAMILIES[family]
+            self._hashes[family] = f.spans(f.table[self.data], self.starts, self.ends)
+        return self._hashes[family]
 
     def windows(self, hashes: np.ndarray, length: int, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Positions at which `length` words of one row begin, and the hashes of those windows."""
@@ -135,7 +138,7 @@ def worker_cache(key: object, make: Callable[[], object]) -> object:
     return _CACHE[key]
 
 
-def slices(texts: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, Words]]:
+def slices(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, Words]]:
     """(first row, Words) of byte-bounded row ranges of a column."""
     offsets, data = buffers(texts)
     for a, b in byte_slices(offsets, limit):
@@ -143,6 +146,16 @@ def slices(texts: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, Words]]
     give_back()
 
 
+def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same work on batches, handing memory back once its last arrays are gone."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
 def give_back() -> None:
     """Hand freed memory to the system, which a long-lived worker's allocators otherwise keep."""
     pa.default_memory_pool().release_unused()
