@@ -70,6 +70,34 @@ def test_near_vectors_like_all_pairs(spark):
     assert {(r.key_l, r.key_r) for r in got.collect()} == want
 
 
+def test_near_vectors_in_cells_and_blocks_like_all_pairs(spark):
+    """Clusters far apart, one of them larger than a block, copies, vectors of another size, an empty and a null component."""
+    rng = random.Random(2)
+    centre = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(5)]
+    rows = [(i, [x + rng.gauss(0, 0.15) for x in centre[0 if i < 30 else i % 5]]) for i in range(70)] + [(i, centre[1]) for i in range(70, 74)] + [(i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(74, 84)]
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+    want = {(i, j) for i, a in rows for j, b in rows if i < j and len(a) == len(b) and round(cos(a, b), 6) >= 0.8}
+    odd = [(90, []), (91, [1.0, None]), (92, [float("inf"), 1.0, 0.0])]
+    d = spark.createDataFrame(rows + odd, "id int, v array<double>")
+    assert {(r.key_l, r.key_r) for r in S.near_vectors(d, "id", "v", 0.8, block=8).collect()} == want
+    assert S.near_vectors(d.limit(0), "id", "v", 0.8).count() == 0
+
+
+def test_bag_pairs_like_all_pairs(spark):
+    """A word that all rows hold, copies, one-word and empty bags, at several thresholds and in blocks."""
+    rng = random.Random(3)
+    rows = [(i, i % 2, ["the"] * rng.randint(0, 4) + [rng.choice("abcdefghij") for _ in range(rng.randint(0, 6))]) for i in range(60)] + [(60, 0, ["the"]), (61, 1, ["the"]), (62, 0, []), (63, 0, None)]
+    d = spark.createDataFrame(rows, "id int, b int, w array<string>")
+
+    def cos(a, b):
+        dot = sum(a.count(w) * b.count(w) for w in set(a))
+        return dot / math.sqrt(sum(a.count(w) ** 2 for w in set(a)) * sum(b.count(w) ** 2 for w in set(b)))
+
+    for threshold, block in ((0.3, ()), (0.8, ("b",)), (1.0, ())):
+        want = {(i, j) for i, g, a in rows for j, h, b in rows if a and b and (not block or g == h) and round(cos(a, b), 6) >= threshold and set(a) & set(b)}
+        assert {(r.key_l, r.key_r) for r in S.bag_pairs(d, d, "id", "w", threshold, block).collect()} == want
+
+
 def topics(spark, rows):
     return spark.createDataFrame(rows, "id long, region_id string, name string, keywords array<string>, v array<double>")
 

@@ -2,35 +2,88 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays, scoring
-from .graph import connected
+from .graph import _checkpointed, connected
 from .joins import token_pairs
 
+#: Vectors that meet at a time, and cells that they are dealt into.
+VECTOR_BLOCK, CELLS = 1024, 64
 NODE = ("tokens", "keyword_tokens", "name_tokens")
 
 
-def near_vectors(vectors: DataFrame, key: str, vector: str, threshold: float, axes: tuple[int, int] = (0, 1)) -> DataFrame:
-    """key_l < key_r, cosine of all pairs of cosine >= threshold: exact, by equi-join.
-
-    Of two unit vectors so near, no component differs by more than r = sqrt(2 - 2 t).  Two components cut
-    into cells of width r place each pair in the same or in neighbouring cells, so one side goes out to
-    its nine cells and meets the other there.  Null vectors, and those of length zero, have no partner.
+def _cells(unit: DataFrame, pivots: list[list[float]]) -> DataFrame:
+    """Adds dim, cell (the nearest pivot of as many components, -1 if there is none) and near (the cosine to it)."""
+    of_dim: dict[int, list[int]] = {}
+    for i, p in enumerate(pivots):
+        of_dim.setdefault(len(p), []).append(i)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat, at = b.column(1).flatten().to_numpy(zero_copy_only=False), b.column(1).offsets.to_numpy()
+            at, dim = at - at[0], np.diff(at)
+            cell, near = np.full(len(dim), -1), np.full(len(dim), -1.0)
+            for d, which in of_dim.items():
+                rows = np.flatnonzero(dim == d)
+                if len(rows):
+                    cosines = flat[at[rows][:, None] + np.arange(d)] @ np.array([pivots[i] for i in which]).T
+                    best = cosines.argmax(1)
+                    cell[rows], near[rows] = np.array(which)[best], cosines[np.arange(len(rows)), best]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(dim.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(near)], ["k", "v", "dim", "cell", "near"])
+
+    return unit.mapInArrow(place, f"k {unit.schema['k'].dataType.simpleString()}, v array<double>, dim int, cell int, near double")
+
+
+def near_vectors(vectors: DataFrame, key: str, vector: str, threshold: float, block: int = VECTOR_BLOCK) -> DataFrame:
+    """key_l < key_r, cosine of all pairs of cosine >= threshold, exactly.
+
+    Vectors gather around pivots, the first vectors by a hash of the key, CELLS at most.  Two cells are
+    compared unless their pivots lie further apart than the widest angles within both and the threshold's
+    angle together.  Cells meet in blocks of about `block` vectors by hash, one matrix product for two
+    blocks, so no cell is held whole however many vectors it has.  Where vectors don't cluster, as in many
+    random dimensions, nothing is pruned and blocks make the comparisons bounded in memory, not fewer.
+    Null vectors, those with a null or non-finite component, and those of length zero have no partner; nor
+    have vectors of different sizes.
     """
-    r = (2 - 2 * (threshold - 1e-6)) ** 0.5 * 1.000001  # room for rounding
     norm = F.sqrt(arrays.dot(F.col(vector), F.col(vector)))
-    unit = vectors.filter(F.col(vector).isNotNull()).withColumn("_n", norm).filter("_n > 0 and not isnan(_n)").select(F.col(key).alias("k"), F.transform(vector, lambda x: x.cast("double") / F.col("_n")).alias("v"))
-    cells = [F.coalesce(F.floor(F.get("v", F.lit(a)) / r), F.lit(0)) for a in axes]
-    left = unit.select(F.col("k").alias("key_l"), F.col("v").alias("_l"), *(c.alias(f"_c{i}") for i, c in enumerate(cells)))
-    step = lambda c: F.array(c - 1, c, c + 1)
-    right = unit.select(F.col("k").alias("key_r"), F.col("v").alias("_r"), cells[1].alias("_y"), F.explode(step(cells[0])).alias("_c0"))
-    right = right.select("key_r", "_r", "_c0", F.explode(step(F.col("_y"))).alias("_c1"))
-    met = left.join(right, ["_c0", "_c1"]).filter("key_l < key_r")
-    return met.select("key_l", "key_r", F.round(arrays.dot(F.col("_l"), F.col("_r")), 6).alias("cosine")).filter(F.col("cosine") >= threshold)
+    unit = vectors.filter(F.col(vector).isNotNull()).withColumn("_n", norm).filter((F.col("_n") > 0) & (F.col("_n") < float("inf")))
+    unit = _checkpointed(unit.select(F.col(key).alias("k"), F.transform(vector, lambda x: x.cast("double") / F.col("_n")).alias("v")))
+    most = min(CELLS, max(1, unit.count() // block))
+    pivots = [list(r["v"]) for r in unit.orderBy(F.xxhash64("k"), "k").limit(most).collect()]
+    placed = _checkpointed(_cells(unit, pivots))
+    cells = placed.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.min("near")))).alias("angle"))
+    apart = [(i, j, float(np.arccos(np.clip(np.dot(p, q), -1, 1)))) for i, p in enumerate(pivots) for j, q in enumerate(pivots) if i <= j and len(p) == len(q)]
+    gaps = unit.sparkSession.createDataFrame(apart or [(0, 0, 0.0)], "a int, b int, gap double")  # CELLS squared rows at most
+    side = lambda n: cells.select("dim", F.col("cell").alias(n), F.col("blocks").alias(f"n_{n}"), F.col("angle").alias(f"angle_{n}"))
+    reach = float(np.arccos(max(-1.0, min(1.0, threshold)))) + 1e-4  # room for rounding
+    pairs = side("a").join(side("b"), "dim").filter("a <= b").join(gaps, ["a", "b"], "left").filter(F.coalesce("gap", F.lit(0.0)) <= F.col("angle_a") + F.col("angle_b") + reach).select("dim", "a", "b", "n_a", "n_b")
+    rows = placed.join(cells.select("dim", "cell", "blocks"), ["dim", "cell"]).withColumn("own", F.pmod(F.xxhash64("k", F.lit(1)), F.col("blocks")).cast("int")).drop("blocks", "near")
+    out = ["dim", "a", "b", "s", "r", "k", "v", "left"]
+    first = rows.withColumnRenamed("cell", "a").join(pairs, ["dim", "a"]).withColumn("s", F.col("own")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("n_b") - 1))).filter("a < b or s <= r").withColumn("left", F.lit(True))
+    second = rows.withColumnRenamed("cell", "b").join(pairs, ["dim", "b"]).withColumn("r", F.col("own")).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n_a") - 1))).filter("a < b or s < r").withColumn("left", F.lit(False))
+
+    def meet(table: pa.Table) -> pa.Table:
+        is_left = table.column("left").to_numpy(zero_copy_only=False).astype(bool)
+        alone = all(table.column(x)[0] == table.column(y)[0] for x, y in (("a", "b"), ("s", "r")))
+        keys = table.column("k").combine_chunks()
+        v = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+        x, y = np.flatnonzero(is_left), np.flatnonzero(is_left if alone else ~is_left)
+        cosines = v[x] @ v[y].T
+        i, j = np.nonzero(cosines >= threshold - 1e-6)
+        if alone:
+            i, j = i[i < j], j[i < j]
+        return pa.table({"x": keys.take(pa.array(x[i])), "y": keys.take(pa.array(y[j])), "cosine": pa.array(cosines[i, j])})
+
+    kind = unit.schema["k"].dataType.simpleString()
+    met = first.select(*out).unionByName(second.select(*out)).groupBy("dim", "a", "b", "s", "r").applyInArrow(meet, f"x {kind}, y {kind}, cosine double")
+    met = met.select(F.least("x", "y").alias("key_l"), F.greatest("x", "y").alias("key_r"), F.round("cosine", 6).alias("cosine"))
+    return met.filter((F.col("key_l") < F.col("key_r")) & (F.col("cosine") >= threshold))
 
 
 def measures(l: str = "l", r: str = "r") -> dict[str, Column]:
@@ -132,12 +185,27 @@ def overlap_pairs(community: DataFrame, news: DataFrame, cosine: float = 0.82, t
 
 
 def bag_pairs(left: DataFrame, right: DataFrame, key: str, words: str, threshold: float, block: tuple[str, ...] = ()) -> DataFrame:
-    """key_l, key_r, cosine of the bags of words of the two sides, of those not below the threshold."""
+    """key_l, key_r, cosine of the bags of words of the two sides, of those not below the threshold.
+
+    Words are put in order of rarity.  What follows a bag's head can't reach the threshold with any bag,
+    so two bags of such a cosine have a word in common that is in both heads; only heads meet, and a
+    word that many rows hold is in few of them.  The pairs that meet are measured on all their words.
+    """
+
     def bag(d: DataFrame, k: str) -> DataFrame:
         n = d.select(*block, F.col(key).alias(k), F.explode(words).alias("_w")).groupBy(*block, k, "_w").agg(F.count(F.lit(1)).alias(f"{k}_n"))
         norm = n.groupBy(*block, k).agg(F.sqrt(F.sum(F.col(f"{k}_n") ** 2)).alias(f"{k}_norm"))
-        return n.join(norm, [*block, k])
+        return _checkpointed(n.join(norm, [*block, k]))
+
+    l, r = bag(left, "key_l"), bag(right, "key_r")
+    rarity = l.select(*block, "_w").unionByName(r.select(*block, "_w")).groupBy(*block, "_w").agg(F.count(F.lit(1)).alias("_df"))
+
+    def head(d: DataFrame, k: str) -> DataFrame:
+        commonest = Window.partitionBy(*block, k).orderBy(F.desc("_df"), F.desc("_w"))
+        ranked = d.join(rarity, [*block, "_w"]).withColumn("_rest", F.sqrt(F.sum(F.col(f"{k}_n") ** 2).over(commonest)))
+        return ranked.filter(F.col("_rest") >= (threshold - 1e-6) * F.col(f"{k}_norm")).select(*block, k, "_w")
 
-    met = bag(left, "key_l").join(bag(right, "key_r"), [*block, "_w"])
-    dot = met.groupBy(*block, "key_l", "key_r").agg((F.sum(F.col("key_l_n") * F.col("key_r_n")) / (F.first("key_l_norm") * F.first("key_r_norm"))).alias("cosine"))
+    met = head(l, "key_l").join(head(r, "key_r"), [*block, "_w"]).select(*block, "key_l", "key_r").distinct()
+    both = met.join(l, [*block, "key_l"]).join(r, [*block, "key_r", "_w"])
+    dot = both.groupBy(*block, "key_l", "key_r").agg((F.sum(F.col("key_l_n") * F.col("key_r_n")) / (F.first("key_l_norm") * F.first("key_r_norm"))).alias("cosine"))
     return dot.withColumn("cosine", F.round("cosine", 6)).filter(F.col("cosine") >= threshold)

@@ -220,9 +220,10 @@ def a38(t):
 @query("a40_flow_edges", "select a, b, n from (select least(x, y) as a, greatest(x, y) as b, x, n, row_number() over (partition by least(x, y), greatest(x, y) order by n desc, x) as r from (select p.region_id as x, q.region_id as y, count(*) as n from topics p join topics q on p.issue % 500 = q.issue % 500 and p.rank < q.rank and p.region_id <> q.region_id and p.scope = 'mixed' and q.scope = 'mixed' group by 1, 2)) where r = 1")
 def a40(t):
     m = t("topics").filter("scope = 'mixed'")
-    p = m.select((F.col("issue") % 500).alias("i"), F.col("region_id").alias("x"), F.col("rank").alias("rp"))
-    q = m.select((F.col("issue") % 500).alias("i"), F.col("region_id").alias("y"), F.col("rank").alias("rq"))
-    n = p.join(q, "i").filter("rp < rq and x <> y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    # Topics of one issue, region and rank are counted before they meet: a key then has few rows, however many topics.
+    m = m.groupBy((F.col("issue") % 500).alias("i"), F.col("region_id").alias("x"), F.col("rank").alias("rp")).agg(F.count(F.lit(1)).alias("np"))
+    q = m.select("i", F.col("x").alias("y"), F.col("rp").alias("rq"), F.col("np").alias("nq"))
+    n = m.join(q, "i").filter("rp < rq and x <> y").groupBy("x", "y").agg(F.sum(F.col("np") * F.col("nq")).alias("n"))
     n = n.withColumn("a", F.least("x", "y")).withColumn("b", F.greatest("x", "y"))
     return distinct_on(n, ["a", "b"], [F.desc("n"), F.col("x")]).select("a", "b", "n")
 
@@ -280,7 +281,8 @@ def w12(t):
 def w14(t):
     from ..functions.scoring import display_heat
 
-    return t("topics").select("id", display_heat(F.col("heat"), F.max("heat").over(Window.partitionBy("region_id"))).alias("display"))
+    most = t("topics").groupBy("region_id").agg(F.max("heat").alias("most"))
+    return t("topics").join(most, "region_id").select("id", display_heat(F.col("heat"), F.col("most")).alias("display"))
 
 
 @query("w16_three_failures", "select source_id from (select source_id, status, latency_ms, row_number() over (partition by source_id order by started_at desc, id desc) as r from runs) where r <= 3 group by 1 having count(*) = 3 and bool_and(status <> 'success' or latency_ms > 300)")
