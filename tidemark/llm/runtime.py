@@ -51,6 +51,29 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, weight: str, total:
     return l.join(r, [key, "_salt"], "left").drop("_salt")
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str) -> tuple[DataFrame, int]:
+    """The rows with their rank (from 0) by `order` over the whole table, and how many they are.
+
+    Rows are dealt by range and sorted within each partition; a rank is the partition's offset, of which
+    there are as many as partitions, plus the place in it.  Rows alike in `order` are told apart by
+    where they lie, so that no number of them fills one partition.  `rows` should be a read table.
+    """
+    spark = rows.sparkSession
+    keys = [*order, F.col("_place")]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    dealt = materialise(dealt.drop("_place").withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("_at", 33)
+    sizes = sorted((r["_part"], r["count"]) for r in dealt.groupBy(part.alias("_part")).count().collect())
+    offsets, total = [], 0
+    for p, n in sizes:
+        offsets.append((p, total))
+        total += n
+    known = spark.createDataFrame(offsets, "_part long, _offset long")
+    ranked = dealt.withColumn("_part", part).join(F.broadcast(known), "_part")
+    return ranked.withColumn(name, F.col("_offset") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_part", "_offset", "_at"), total
+
+
 def row_mark(docs: DataFrame) -> Column:
     """A hash of all columns: with the id, it tells rows apart that repeat an id or have none."""
     return F.xxhash64(*docs.columns)
