@@ -11,7 +11,7 @@ in the one bucket that is its own, and only a spanning forest of a bucket's link
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain, combinations
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .runs import whole_runs
 from .runtime import materialise, salted_join
 from .substring_dedup import kept_text
 from .words import Words, slices_of, tidy
@@ -133,14 +134,9 @@ def links(distinct: DataFrame, bits: int) -> DataFrame:
     dealt = distinct.select(F.explode(F.array(*key)).alias("k")).select("k.*").repartition("which", "rest").sortWithinPartitions("which", "rest")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, dtype=np.int64)] * 3  # the last bucket, which may go on in the next batch
-        for batch in chain(batches, [None]):
-            which, rest, prints = held if batch is None else (np.append(x, c.to_numpy()) for x, c in zip(held, batch.columns, strict=True))
-            first = np.flatnonzero(np.append(True, (which[1:] != which[:-1]) | (rest[1:] != rest[:-1]))[: len(which)])
-            if batch is not None and len(first):
-                held = [x[first[-1] :] for x in (which, rest, prints)]
-                which, prints, first = which[: first[-1]], prints[: first[-1]], first[:-1]
-            n = np.diff(np.append(first, len(which)))
+        for b, bounds in whole_runs(batches, 2):
+            n = np.diff(bounds)
+            which, prints = b.column(0).to_numpy(), b.column(2).to_numpy()
             shared = np.repeat(n > 1, n)
             bucket = np.repeat(np.arange(len(n)), n)[shared]
             which, prints = which[shared], prints[shared]
