@@ -46,4 +46,6 @@ def with_views(sql: str) -> str:
     if not used:
         return sql
     ahead = "with " + ", ".join(f"{v} as ({VIEWS[v]})" for v in used)
+    if sql.startswith("with recursive "):
+        return f"with recursive {ahead[5:]}, {sql[15:]}"
     return f"{ahead}, {sql[5:]}" if sql.startswith("with ") else f"{ahead} {sql}"
