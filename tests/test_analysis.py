@@ -9,7 +9,7 @@ from tidemark.functions.scoring import lag_minutes
 from tidemark.operators import clusters as C
 from tidemark.operators import keywords as K
 from tidemark.operators import similarity as S
-from tidemark.operators.joins import one_to_one
+from tidemark.operators.rounds import dominant_pairs
 from tidemark.plans import pipelines as P
 from tidemark.plans.endpoints import clamp, search
 from tidemark.sources import hooks
@@ -117,7 +117,7 @@ def overlap(spark, rows):
     return spark.createDataFrame([(*r[:8], datetime.fromisoformat(r[8])) for r in rows], kind)
 
 
-def test_overlaps_one_to_one(spark):
+def test_overlaps_dominant_pairs(spark):
     at = "2026-04-19 00:00:00"
     a = overlap(spark, [(1, "ar", "casa rosada", ["casa", "rosada"], ["palace"], [], [], None, at), (2, "ar", None, ["market"], [], [], [], [1.0, 0.0], at), (3, "kr", None, ["quake", "seoul"], ["quake"], [], [], None, at)])
     b = overlap(spark, [(11, "ar", "casa rosada", ["rosada"], ["palace"], [], [], None, "2026-04-19 00:45:00"), (12, "ar", None, ["market"], [], [], [], [1.0, 0.0], at), (13, "kr", None, ["quake", "seoul", "today"], ["quake"], [], [], None, "2026-04-18 23:58:00"), (14, "kr", None, ["quake", "seoul"], ["quake"], [], [], None, at)])
@@ -133,7 +133,7 @@ def test_one_to_one_like_a_loop(spark):
     for _, i, j, s in sorted(rows, key=lambda x: (-x[3], x[1], x[2])):
         if i not in l and j not in r:
             l.add(i), r.add(j), want.add((i, j))
-    got = one_to_one(spark.createDataFrame(rows, "b string, i int, j int, s double"), "b", "i", "j", [("s", False)])
+    got = dominant_pairs(spark.createDataFrame(rows, "b string, i int, j int, s double"), "b", "i", "j", [("s", False)])
     assert {(x.i, x.j) for x in got.collect()} == want
 
 

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import arrays, scoring, text
 from tidemark.operators.graph import connected
-from tidemark.operators.joins import latest_before, one_to_one, token_pairs
+from tidemark.operators.joins import latest_before, token_pairs
+from tidemark.operators.rounds import dominant_pairs
 
 
 def one(spark, *cols):
@@ -40,7 +41,7 @@ def test_components(spark):
 
 def test_matching_uses_each_side_once(spark):
     pairs = spark.createDataFrame([("r", 1, 10, 0.9), ("r", 1, 11, 0.8), ("r", 2, 10, 0.85), ("r", 2, 11, 0.5)], "region string, c long, n long, score double")
-    assert {(r["c"], r["n"]) for r in one_to_one(pairs, "region", "c", "n", [("score", False)]).collect()} == {(1, 10), (2, 11)}
+    assert {(r["c"], r["n"]) for r in dominant_pairs(pairs, "region", "c", "n", [("score", False)]).collect()} == {(1, 10), (2, 11)}
 
 
 def test_as_of_and_token_pairs(spark):

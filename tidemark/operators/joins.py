@@ -30,25 +30,6 @@ def token_pairs(left: DataFrame, right: DataFrame, key: str, tokens: str, block:
     return l.join(r, [*block, "_t"]).groupBy(*block, "key_l", "key_r").agg(F.count(F.lit(1)).alias("shared"))
 
 
-def one_to_one(pairs: DataFrame, block: str, left: str, right: str, order: Sequence[tuple[str, bool]]) -> DataFrame:
-    """Greedy matching in each block: best pair first, each side used once.  Ties go to the smaller ids."""
-    import pandas as pd
-
-    by = [c for c, _ in order] + [left, right]
-    up = [a for _, a in order] + [True, True]
-
-    def match(rows: pd.DataFrame) -> pd.DataFrame:
-        used_l, used_r, keep = set(), set(), []
-        for i, a, b in rows.sort_values(by, ascending=up, kind="stable")[[left, right]].itertuples():
-            if a not in used_l and b not in used_r:
-                used_l.add(a)
-                used_r.add(b)
-                keep.append(i)
-        return rows.loc[keep]
-
-    return pairs.groupBy(block).applyInPandas(match, pairs.schema)
-
-
 def hours_filled(df: DataFrame, time: str, start: Column, end: Column, aggregates: Sequence[Column], zero: Sequence[str] = ()) -> DataFrame:
     """Hourly series with every hour of [start, end]: counts named in `zero` are 0 where there is no row, the rest null."""
     spark = df.sparkSession

@@ -57,17 +57,35 @@ def official(t):  # noqa: ANN001, ANN201
     return t("overlap_events").groupBy(F.col("community_id").alias("community"), F.col("news_id").alias("news")).agg(F.max_by("cosine", F.struct("detected_at", "cosine")).alias("cosine"))
 
 
-@query("t11_candidate_pairs", f"""with recursive {EVIDENCE},
-scored as (select *, round(least(1, names * 0.24 + keywords * 0.18 + entities * 0.18 + phrases * 0.16 + case when same_canonical then 0.22 else 0 end), 4) as score from met where (names > 0 and keywords > 0) or (same_canonical and (names > 0 or keywords > 0))),
-cand as (select * from scored where (score >= 0.45 or same_canonical) and not exists (select 1 from overlap_events o where o.community_id = community and o.news_id = news)),
+def _chosen(where: str, last: str = "") -> str:
+    """DuckDB SQL of the candidates, taken one after the other within each block."""
+    return f"""with recursive {EVIDENCE},
+scored as (select *, round(least(1, names * 0.24 + keywords * 0.18 + entities * 0.18 + phrases * 0.16 + case when same_canonical then 0.22 else 0 end), 4) as score, case when abs(lag_minutes) < 10 then 'tie' when lag_minutes > 0 then 'community' else 'news' end as leader from met where (names > 0 and keywords > 0) or (same_canonical and (names > 0 or keywords > 0))),
+cand as (select * from scored where (score >= 0.45 or same_canonical) and {where} and not exists (select 1 from overlap_events o where o.community_id = community and o.news_id = news)),
 ranked as (select *, row_number() over (partition by block order by score desc, abs(lag_minutes), community, news) as r from cand),
 run(block, r, cs, ns, won) as (select distinct block, cast(0 as bigint), cast([] as bigint[]), cast([] as bigint[]), false from ranked
   union all select run.block, x.r, list_append(cs, x.community), list_append(ns, x.news), true from run, lateral (select community, news, r from ranked q where q.block = run.block and q.r > run.r and not list_contains(run.cs, q.community) and not list_contains(run.ns, q.news) order by q.r limit 1) x)
-select block, community, news, score, case when score >= 0.72 then 'high' when score >= 0.45 then 'medium' else 'low' end as tier, lag_minutes, case when abs(lag_minutes) < 10 then 'tie' when lag_minutes > 0 then 'community' else 'news' end as leader, names, keywords, entities, phrases, same_canonical from ranked join run using (block, r) where won""")
-def t11(t):
+select block, community, news, score, case when score >= 0.72 then 'high' when score >= 0.45 then 'medium' else 'low' end as tier, lag_minutes, leader, names, keywords, entities, phrases, same_canonical from ranked join run using (block, r) where won{last}"""
+
+
+def candidates(t, direction: str = "both", region: str | None = None):  # noqa: ANN001, ANN201
+    """Candidate pairs beside the official ones, of one region or of all."""
     community, news = sides(t)
+    if region:
+        community, news = (x.filter(F.col("block") == region) for x in (community, news))
     told = official(t).join(community.select("block", F.col("key").alias("community")), "community").select("block", "community", "news")
-    return E.candidate_pairs(community, news, told).withColumns({k: F.col(k).cast("long") for k in E.KINDS})
+    return E.candidate_pairs(community, news, told, direction).withColumns({k: F.col(k).cast("long") for k in E.KINDS})
+
+
+@query("t11_candidate_pairs", _chosen("true"))
+def t11(t):
+    return candidates(t)
+
+
+@query("q14_candidate_supplement", _chosen("leader = 'community' and block = 'EUROPE'", " order by score desc, abs(lag_minutes), community, news limit 50"))
+def q14_candidates(t, direction: str = "community_to_news", region: str | None = "EUROPE", limit: int = 50):
+    """What the source-transfer endpoint shows beside its official pairs (q14_source_transfer)."""
+    return candidates(t, direction, region).orderBy(F.desc("score"), F.abs("lag_minutes"), "community", "news").limit(limit)
 
 
 @query("f56_match_evaluation", f"""with {EVIDENCE},

@@ -61,9 +61,11 @@ def k02(t):
     return top_per_key(x, ["region_id"], [F.col("at"), F.col("id")], 50).select("region_id", "id", F.col("at").alias("rank"))
 
 
-@query("k03_source_status", "select s.id, max(r.started_at) as last_scraped_at, arg_max(coalesce(r.error_code, ''), row(r.started_at, r.id)) as last_error from sources s left join runs r on r.source_id = s.id group by 1")
+@query("k03_source_status", "select s.id, max(r.started_at) as last_scraped_at, arg_max(row(case when r.status = 'failed' then coalesce(r.error_code, 'unknown error') end), row(r.started_at, r.id))[1] as last_error from sources s left join runs r on r.source_id = s.id group by 1")
 def k03(t):
-    last = t("runs").groupBy(F.col("source_id").alias("id")).agg(F.max("started_at").alias("last_scraped_at"), F.max_by(F.coalesce("error_code", F.lit("")), F.struct("started_at", "id")).alias("last_error"))
+    """The latest run of a source: its time, and its error, which a success clears."""
+    error = F.when(F.col("status") == "failed", F.coalesce("error_code", F.lit("unknown error")))
+    last = t("runs").groupBy(F.col("source_id").alias("id")).agg(F.max("started_at").alias("last_scraped_at"), F.max_by(error, F.struct("started_at", "id")).alias("last_error"))
     return t("sources").select("id").join(last, "id", "left")
 
 

@@ -12,8 +12,10 @@ from ..operators import clusters as C
 from ..operators import keywords as K
 from ..operators import similarity as S
 from ..operators.graph import _checkpointed
-from ..operators.joins import one_to_one
+from ..operators.dedupe import distinct_topics
 from ..operators.keyed import top_per_key
+from ..operators.rounds import dominant_pairs
+from ..operators.store import written
 
 #: Words of the sentiment lexicon.
 POSITIVE = ["good", "great", "best", "win", "success", "love", "hope"]
@@ -65,8 +67,10 @@ def regional(posts: DataFrame, as_of: Column, scope: str = "mixed", most: int =
     x = total.join(names, ["region_id", "cluster"]).join(words, ["region_id", "cluster"]).join(boost, ["region_id", "cluster"], "left")
     base = scoring.news_fallback(F.col("base") * scoring.diversity_multiplier(F.col("sources")), F.col("post_count"), F.lit(scope))
     x = x.select("region_id", F.lit(scope).alias("scope"), "name", "keywords", F.round(base * F.coalesce("boost", F.lit(1.0)), 4).alias("heat"), F.round("burst_z", 4).alias("burst_z"), F.round("mood", 3).alias("sentiment"), "post_count", "total_views", "total_likes", "total_comments", "sources", F.round("dominant", 4).alias("dominant_share"), F.round(F.col("sources") / F.log(F.col("post_count") + F.lit(2.718281828459045)), 4).alias("diversity"), "first_at")
-    # Topics whose name repeats are one; the hotter stays.
-    x = C.ranked(x.withColumn("_same", F.row_number().over(Window.partitionBy("region_id", F.lower("name")).orderBy(F.desc("heat"), "first_at"))).filter("_same = 1").drop("_same"), "region_id", "heat", "name").filter(F.col("rank") <= most)
+    # Of topics that say the same by name or keywords the hotter stays.
+    none = F.lit(None).cast("string")
+    x = written(x.withColumns({"_key": F.concat_ws("\u0001", "region_id", "name", F.array_join("keywords", "\u0001")), "name_ko": none, "name_en": F.col("name"), "canonical": none, "entities": none.cast("array<string>")}))
+    x = distinct_topics(x, ["region_id"], "_key", "heat", most=most).drop("_key", "name_ko", "name_en", "canonical", "entities")
     return x.withColumn("display", scoring.display_heat(F.col("heat"), F.max("heat").over(Window.partitionBy("region_id"))))
 
 
@@ -128,4 +132,4 @@ def global_issues(topics: DataFrame, history: DataFrame, as_of: Column, threshol
 
 def scope_overlaps(community: DataFrame, news: DataFrame) -> DataFrame:
     """One-to-one pairs of the same issue in community and news topics of a region, the better pair first."""
-    return one_to_one(S.overlap_pairs(community, news), "block", "key_l", "key_r", [("score", False), ("cosine", False), ("distance", True)]).drop("distance")
+    return dominant_pairs(S.overlap_pairs(community, news), "block", "key_l", "key_r", [("score", False), ("cosine", False), ("distance", True)]).drop("distance")
