@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import arrays, scoring, text
+from tidemark.functions import arrays, scoring, text, titles
 from tidemark.operators.graph import connected
 from tidemark.operators.joins import latest_before, token_pairs
 from tidemark.operators.rounds import dominant_pairs
@@ -30,7 +30,7 @@ def test_arrays(spark):
 
 
 def test_text(spark):
-    got = one(spark, text.tokens(F.lit("Street fighter https://x.y 2024 조회는 ab")), text.clamp(F.lit("a" * 400), 280), text.error_code(F.lit("Request failed: status 403")), text.is_placeholder(F.lit("Global Topic 6")), text.lexicon_score(F.lit("good good bad"), ["good"], ["bad"]))
+    got = one(spark, titles.tokens(F.lit("Street fighter https://x.y 2024 조회는 ab"), F.lit("kr")), text.clamp(F.lit("a" * 400), 280), text.error_code(F.lit("Request failed: status 403")), text.is_placeholder(F.lit("Global Topic 6")), text.lexicon_score(F.lit("good good bad"), ["good"], ["bad"]))
     assert got[0] == ["street", "fighter", "조회"] and len(got[1]) == 280 and got[2] == "http_403" and got[3] and got[4] == 0.0
 
 

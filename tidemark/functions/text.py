@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 #: Placeholder names once punctuation is gone.
 PLACEHOLDER = "^(globaltopic|regiontopic|topic|issue)?[0-9]*$"
-#: Korean particles, longest first within the alternation.
-PARTICLES = "(에서는|으로는|에게서|에서|으로|까지|부터|에게|한테|처럼|보다|이라|라고|은|는|이|가|을|를|의|에|와|과|도|로)$"
 
 
 def key(x: Column) -> Column:
@@ -25,38 +23,12 @@ def is_placeholder(x: Column) -> Column:
     return bare(x).rlike(PLACEHOLDER) | F.lower(x).rlike("^https?://")
 
 
-def clean_title(x: Column) -> Column:
-    """Without bracketed labels, site suffixes, hash tags and edge symbols."""
-    x = F.regexp_replace(x, "[\\[【〔(（][^\\]】〕)）]{0,24}[\\]】〕)）]", " ")
-    x = F.regexp_replace(x, "\\s+-\\s+YouTube\\b|#\\w+", " ")
-    x = F.regexp_replace(x, "^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N})!?.]+$", "")
-    return F.trim(F.regexp_replace(x, "\\s+", " "))
-
-
 def clean_input(x: Column) -> Column:
     """Without addresses, entities and zero-width characters."""
     x = F.regexp_replace(x, "https?://\\S+|&[a-zA-Z]+;|&#[0-9]+;", " ")
     return F.regexp_replace(x, "[\\u200b-\\u200f\\ufeff]", "")
 
 
-def tokens(x: Column, least: int = 3, most: int = 40) -> Column:
-    """Runs of one script in lower case, particles cut, numbers and odd lengths dropped."""
-    runs = F.regexp_extract_all(F.lower(clean_input(x)), F.lit("[\\p{IsHangul}]+|[\\p{IsHan}]+|[\\p{IsHiragana}]+|[\\p{IsKatakana}]+|[\\p{IsLatin}0-9]+"), 0)
-    runs = F.transform(runs, lambda t: F.when(t.rlike("^[\\p{IsHangul}]{3,}$"), F.regexp_replace(t, PARTICLES, "")).otherwise(t))
-    latin = lambda t: t.rlike("^[\\p{IsLatin}0-9]+$")
-    return F.filter(runs, lambda t: ~t.rlike("^[0-9]+$") & (F.length(t) <= most) & (F.length(t) >= F.when(latin(t), F.lit(least)).otherwise(F.lit(2))))
-
-
-def phrases(words: Column, low: int = 2, high: int = 4) -> Column:
-    """All runs of low to high words, 5 to 48 characters, joined by spaces."""
-    def of(n: int) -> Column:
-        last = F.size(words) - n + 1
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
-        return F.when(last >= 1, grams).otherwise(F.array().cast("array<string>"))
-
-    return F.filter(F.flatten(F.array(*(of(n) for n in range(low, high + 1)))), lambda p: F.length(p).between(5, 48))
-
-
 def clamp(x: Column, most: int, mark: str = "...") -> Column:
     """Trimmed, and cut with a mark where it is longer."""
     t = F.trim(x)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import phrases as phrases_of
+from ..functions.titles import phrases as phrases_of
 from .keyed import top_per_key
 
 #: Words that make no name by themselves.
@@ -83,7 +83,7 @@ def cluster_names(clusters: DataFrame, keywords: DataFrame, posts: DataFrame, bl
     posts: block, cluster, tokens, weight.  Clusters with no telling label have no row.
     """
     word = posts.select(block, "cluster", F.explode(F.slice(tokens, 1, 8)).alias("label"), (F.col(weight) * 0.75).alias("s"))
-    phrase = posts.select(block, "cluster", F.explode(phrases_of(F.col(tokens))).alias("label"), (F.col(weight) * 1.35).alias("s"))
+    phrase = posts.select(block, "cluster", F.explode(phrases_of(F.col(tokens), F.col(block))).alias("label"), (F.col(weight) * 1.35).alias("s"))
     own = clusters.join(keywords, [block, "keyword"]).select(block, "cluster", F.col("keyword").alias("label"), (F.col("score") * F.when(F.col("keyword").contains(" "), 2.9).otherwise(1.15)).alias("s"))
     total = word.unionByName(phrase).unionByName(own).groupBy(block, "cluster", "label").agg(F.sum("s").alias("s"))
     total = total.filter(names_something(F.col("label"))).withColumn("s", F.round(F.when(F.col("label").contains(" "), F.col("s")).otherwise(F.col("s") * 0.4), 6)).withColumn("many", F.col("label").contains(" "))

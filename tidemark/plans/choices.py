@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import titles
+from ..functions.topic_names import with_names
 from ..functions.unicode import nfkc, plain
 from ..operators import evidence as E
 from ..operators.dedupe import distinct_topics
@@ -35,6 +37,21 @@ def u12(t):
     return distinct_topics(pages(t), ["region_id"]).select("region_id", "id", "heat", F.col("rank").cast("long").alias("rank"))
 
 
+@query("f16_topic_names")
+def f16(t):
+    """Names of page topics resolved from title, heading, links and capitalised words; compared row by row with the function in the tests."""
+    x = pages(t).withColumn("titles", F.array("name_ko")).withColumn("entities", F.transform("entities", lambda e: F.struct(e.alias("text"), F.lit("other").alias("type"))))
+    return with_names(x).select("id", "name_ko", "name_en", "source_ko", "source_en", "low_ko", "low_en", "upgraded_ko", "upgraded_en")
+
+
+@query("f06_title_terms")
+def f06(t):
+    """Tokens, phrases and their script weights of page titles; compared row by row with plain Python in the tests."""
+    region, x = F.col("region_id"), pages(t).select("id", "region_id", "name_en").withColumn("words", titles.tokens(F.col("name_en"), F.col("region_id"), F.lit("page")))
+    x = x.withColumn("weight", F.aggregate("words", F.lit(0.0), lambda a, w: a + titles.script_multiplier(w, region)))
+    return x.select("id", F.array_join("words", " ").alias("terms"), F.array_join(titles.phrases(F.col("words"), region), "|").alias("phrases"), F.round("weight", 4).alias("weight"))
+
+
 EVIDENCE = """hottest as (select * from (select *, row_number() over (partition by region_id, scope order by heat desc, id) as n from topics) where n <= 80),
 made as (select t.id, t.region_id as block, t.scope, t.created_at as first_at, list_distinct(string_split(lower(t.name), ' ')) as names, list_sort(list_distinct(flatten(list(string_split(p_name, ' '))))) as keywords, list_distinct(list(p_name)) as phrases, list_distinct(list(lower(regexp_replace(p_brand, '[^A-Za-z0-9]+', '', 'g')))) as entities, 'issue' || 'x' || t.issue as canonical
   from hottest t join lineitem on l_orderkey = t.id join part on p_partkey = l_partkey group by t.id, t.region_id, t.scope, t.created_at, t.name, t.issue),

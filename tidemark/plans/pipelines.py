@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scoring, text
+from ..functions import scoring, text, titles
+from ..functions.unicode import nfkc
 from ..operators import clusters as C
 from ..operators import keywords as K
 from ..operators import similarity as S
@@ -24,7 +25,8 @@ NEGATIVE = ["bad", "worst", "crash", "fail", "fear", "attack", "crisis"]
 
 def with_terms(posts: DataFrame, title: str = "title") -> DataFrame:
     """Adds `words` and `terms`: the tokens of the cleaned title, and those with the phrases they make."""
-    return posts.withColumn("words", text.tokens(text.clean_title(F.col(title)))).withColumn("terms", F.concat("words", text.phrases(F.col("words"))))
+    region = F.col("region_id")
+    return posts.withColumn("words", titles.tokens(F.col(title), region, F.col("source_id"))).withColumn("terms", F.concat("words", titles.phrases(F.col("words"), region)))
 
 
 def containing(posts: DataFrame, keywords: DataFrame, block: str, key: str, haystack: Column) -> DataFrame:
@@ -46,7 +48,7 @@ def regional(posts: DataFrame, as_of: Column, scope: str = "mixed", most: int =
     stats = _checkpointed(K.idf(counts, "region_id", "id"))
     scores = K.keyword_scores(counts, stats, K.generic_terms(stats, "region_id"), p.select("region_id", "id", "weight"), "region_id", "id", K.phrase_boost(F.col("term")))
     keywords = _checkpointed(K.pick_keywords(scores, "region_id", least_df=F.lit(least_df)))
-    haystack = F.concat_ws(" ", text.key(F.col("title")), F.array_join("words", " "))
+    haystack = F.concat_ws(" ", text.key(nfkc(F.col("title"))), F.array_join("words", " "))
     members = _checkpointed(containing(p, keywords, "region_id", "id", haystack))
     grown = _checkpointed(C.seeded_clusters(keywords, members, "region_id", "id"))
     of = C.cluster_posts(grown, members, "region_id", "id").join(p.drop("terms"), ["region_id", "id"])
@@ -69,7 +71,7 @@ def regional(posts: DataFrame, as_of: Column, scope: str = "mixed", most: int =
     x = x.select("region_id", F.lit(scope).alias("scope"), "name", "keywords", F.round(base * F.coalesce("boost", F.lit(1.0)), 4).alias("heat"), F.round("burst_z", 4).alias("burst_z"), F.round("mood", 3).alias("sentiment"), "post_count", "total_views", "total_likes", "total_comments", "sources", F.round("dominant", 4).alias("dominant_share"), F.round(F.col("sources") / F.log(F.col("post_count") + F.lit(2.718281828459045)), 4).alias("diversity"), "first_at")
     # Of topics that say the same by name or keywords the hotter stays.
     none = F.lit(None).cast("string")
-    x = written(x.withColumns({"_key": F.concat_ws("\u0001", "region_id", "name", F.array_join("keywords", "\u0001")), "name_ko": none, "name_en": F.col("name"), "canonical": none, "entities": none.cast("array<string>")}))
+    x = written(x.withColumns({"_key": F.concat_ws("\u0001", "region_id", "name", F.array_join("keywords", "\u0001")), "name_ko": none, "name_en": F.col("name"), "canonical": none, "entities": F.lit(None).cast("array<string>")}))
     x = distinct_topics(x, ["region_id"], "_key", "heat", most=most).drop("_key", "name_ko", "name_en", "canonical", "entities")
     return x.withColumn("display", scoring.display_heat(F.col("heat"), F.max("heat").over(Window.partitionBy("region_id"))))
 

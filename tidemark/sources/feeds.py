@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import clamp, clean_title, external_id
+from ..functions.text import clamp, external_id
+from ..functions.titles import clean_title
 
 
 def xml_items(spark: SparkSession, path: str, tag: str = "item") -> DataFrame:
