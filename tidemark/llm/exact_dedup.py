@@ -83,11 +83,13 @@ def differing(docs: DataFrame, state: DataFrame, total: int, text_col: str, dige
     compared with one another.
     """
     share = max(1, total // HEAVY)
-    hits = state.filter("group_size > 1").select("digest")
+    salts = F.when(F.col("group_size") >= share, F.least(F.lit(4 * HEAVY), F.ceil(F.col("group_size") / share))).otherwise(F.lit(1)).cast("int")
+    hits = state.filter("group_size > 1").select("digest", F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"))
     heavy = state.filter(F.col("group_size") >= share).select("digest", F.least(F.lit(4 * HEAVY), F.ceil(F.col("group_size") / share)).cast("int").alias("_n"))
     rows = docs.select(F.monotonically_increasing_id().alias("_place"), normalised(F.col(text_col)).alias("_norm"))
-    rows = rows.withColumn("digest", F.expr(_digest(digest_bits))).join(hits, "digest", "left_semi")
-    rows = rows.join(F.broadcast(heavy), "digest", "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("_place"), F.col("_n")).cast("int"), F.lit(0)))
+    rows = rows.withColumn("digest", F.expr(_digest(digest_bits))).join(F.broadcast(heavy), "digest", "left")
+    rows = rows.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("_place"), F.col("_n")).cast("int"), F.lit(0)))
+    rows = rows.join(hits, ["digest", "_salt"], "left_semi")  # salted before they move, so that no digest fills a task
     w = Window.partitionBy("digest", "_salt").orderBy("_place")
     checked = rows.select("digest", "_norm", (F.col("_norm") != F.lag("_norm").over(w)).alias("differs"), F.lag("_norm").over(w).isNull().alias("first"), F.col("_n").isNotNull().alias("heavy")).filter("differs or (first and heavy)")
     heads = F.when(F.col("first") & F.col("heavy"), F.col("_norm"))
