@@ -206,11 +206,12 @@ def _classes(docs: DataFrame, similarity: float, size: int, bands: int, band_row
     folded = materialise(folded.withColumn("node", F.monotonically_increasing_id()))
     bucket = folded.select(F.explode("bands").alias("band"), "node")
     shared = bucket.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = materialise(bucket.join(shared, "band"))
+    members = materialise(salted_join(bucket, shared, "band", "n", bands * folded.count()).filter("n is not null"))
     degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
     ranked = members.join(degree, "node")
-    pivots = ranked.groupBy("band").agg(F.max(F.struct("degree", (-F.col("node")).alias("i"))).alias("p")).select("band", (-F.col("p.i")).alias("pivot"))
-    placed = materialise(members.join(pivots, "band").select("band", "node", "pivot"))
+    pivots = ranked.groupBy("band").agg(F.max(F.struct("degree", (-F.col("node")).alias("i"))).alias("p"), F.max("n").alias("n")).select("band", "n", (-F.col("p.i")).alias("pivot"))
+    held = members.count()
+    placed = materialise(salted_join(members.drop("n"), pivots, "band", "n", held).select("band", "node", "pivot"))
     pairs = materialise(placed.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
     # The sets of all that share a bucket are made once; later rounds need no texts.
     wanted = placed.select("node").distinct().join(folded, "node").select("node", "head", F.col("first.mark").alias("mark"))
@@ -221,8 +222,8 @@ def _classes(docs: DataFrame, similarity: float, size: int, bands: int, band_row
     labels = components(links).withColumnRenamed("node", "of")
     # Members of one bucket in different classes may yet be linked: they meet by their rarest shingles.
     apart = placed.join(labels, F.col("node") == F.col("of"), "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-    mixed = apart.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
-    apart = apart.join(mixed, "band").select("node", "label").distinct()
+    mixed = apart.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi").select("band", "n")
+    apart = salted_join(apart, mixed, "band", "n", held).filter("n is not null").select("node", "label").distinct()
     # Jaccard distance is a metric: two at distances more than 1 - similarity apart from one hub aren't linked.
     seen = scored.groupBy(F.col("b").alias("node")).agg(F.max(F.struct("n", "a", (1 - F.col("sim")).alias("d"))).alias("h"))
     apart = apart.join(seen, "node", "left").select("node", "label", F.coalesce("h.a", "node").alias("hub"), F.coalesce("h.d", F.lit(0.0)).alias("d"))
