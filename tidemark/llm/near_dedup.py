@@ -95,7 +95,7 @@ def shingles(w: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
 
 def whole_texts(w: Words, hashes: np.ndarray, family: int) -> np.ndarray:
     """Hash of each row's whole word sequence."""
-    return FAMILIES[family].spans(hashes, w.first[:-1], w.first[1:])
+    return FAMILIES[family].long_spans(hashes, w.first[:-1], w.first[1:])
 
 
 def text_keys(w: Words) -> pa.Array:

@@ -22,7 +22,11 @@ SLICE_BYTES, CACHE_WORDS, JOINED = 1 << 20, 400_000, 200
 
 
 class ChunkEncoder:
-    """Ids of chunks, from `encode(list of str) -> (all ids, ids of each)`, cached by chunk hash."""
+    """Ids of chunks, from `encode(list of str) -> (all ids, ids of each)`, cached by chunk hash.
+
+    Every chunk that the cache answers for is compared with the cached one byte by byte; one that only shares
+    its hash gets an entry of its own.
+    """
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> None:
         self.encode = encode
@@ -32,29 +36,48 @@ class ChunkEncoder:
         self.index: dict[int, int] = {}
         self.starts, self.lengths = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         self.flat = np.zeros(0, dtype=np.uint32)
+        self.raw, self.begins, self.sizes = np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
-    def _add(self, keys: list[int], chunks: list[str]) -> None:
-        ids, lengths = self.encode(chunks)
+    def _add(self, raw: bytes, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """New entries for the chunks that lie in raw."""
+        chunks = [raw[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+        ids, lengths = self.encode([c.decode("utf-8", "replace") for c in chunks])
         starts = len(self.flat) + np.cumsum(lengths) - lengths
-        n = len(self.index)
-        self.index.update(zip(keys, range(n, n + len(keys)), strict=True))
+        sizes, n = ends - begins, len(self.starts)
+        self.begins = np.append(self.begins, len(self.raw) + np.cumsum(sizes) - sizes)
+        self.sizes, self.raw = np.append(self.sizes, sizes), np.append(self.raw, np.frombuffer(b"".join(chunks), dtype=np.uint8))
         self.starts, self.lengths = np.append(self.starts, starts), np.append(self.lengths, lengths)
         self.flat = np.append(self.flat, ids)
+        return np.arange(n, n + len(chunks))
+
+    def _strangers(self, words: Words, at: np.ndarray) -> np.ndarray:
+        """Words that differ from what their cache entry holds."""
+        size = words.ends - words.starts
+        odd = size != self.sizes[at]
+        like = np.flatnonzero(~odd)
+        n = size[like]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        differs = words.data[np.repeat(words.starts[like], n) + step] != self.raw[np.repeat(self.begins[at[like]], n) + step]
+        if differs.any():
+            odd[like[np.repeat(np.arange(len(like)), n)[differs]]] = True
+        return np.flatnonzero(odd)
 
     def look(self, words: Words) -> np.ndarray:
         """The cache entry of each word."""
-        if len(self.index) > CACHE_WORDS:
+        if len(self.starts) > CACHE_WORDS:
             self.clear()
         keys, first, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
         listed = keys.tolist()
         at = np.fromiter(map(self.index.get, listed, [-1] * len(listed)), dtype=np.int64, count=len(listed))
         new = np.flatnonzero(at < 0)
         if len(new):
-            raw, s, e = words.data.tobytes(), words.starts[first[new]].tolist(), words.ends[first[new]].tolist()
-            n = len(self.index)
-            self._add([listed[i] for i in new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(s, e, strict=True)])
-            at[new] = np.arange(n, n + len(new))
-        return at[back]
+            at[new] = self._add(words.data.tobytes(), words.starts[first[new]], words.ends[first[new]])
+            self.index.update(zip(keys[new].tolist(), at[new].tolist(), strict=True))
+        at = at[back]
+        odd = self._strangers(words, at)
+        if len(odd):
+            at[odd] = self._add(words.data.tobytes(), words.starts[odd], words.ends[odd])
+        return at
 
     def counts(self, words: Words) -> np.ndarray:
         """Tokens of each row."""

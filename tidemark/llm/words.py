@@ -35,15 +35,55 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[np.append(True, x[1:] != x[:-1])[: len(x)]]
 
 
+#: Words of one stretch, whose hash is mixed before the next stretch joins.
+STRETCH = 64
+
+
 class _Family:
-    """A polynomial hash modulo 2**64 with an odd base, over a table of mixed symbols."""
+    """Hashes of words by mixing eight bytes at a time, and of short runs of words by a polynomial.
+
+    The polynomial is taken modulo 2**64 with an odd base, which strings of a regular build defeat if they are
+    long (a Thue-Morse string of 2,048 symbols and its complement collide for every base).  So it only
+    serves runs of up to STRETCH words; words, and longer runs, are mixed step by step.
+    """
 
     def __init__(self, seed: int) -> None:
-        self.base = _U(int(mix64(np.array([seed], dtype=_U))[0]) | 1)
+        self.seed = mix64(np.array([seed], dtype=_U))[0]
+        self.base = _U(int(self.seed) | 1)
         self.inverse = _U(pow(int(self.base), -1, 1 << 64))
-        self.table = mix64(np.arange(256, dtype=_U) + _U(seed << 20))
         self.powers = self.unpowers = np.ones(1, dtype=_U)
 
+    def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """One hash for each word: every eight bytes, and the length, are mixed into what came before."""
+        size = ends - starts
+        out = mix64(size.astype(_U) ^ self.seed)
+        if not len(size):
+            return out
+        padded = np.zeros(len(data) + 8, dtype=np.uint8)
+        padded[: len(data)] = data
+        eight = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), shape=(len(data) + 1,), strides=(1,))
+        live, at = np.arange(len(size)), starts
+        left = size
+        while len(live):
+            block = eight[at]
+            block &= _MASKS[np.minimum(left, 8)]
+            out[live] = mix64(out[live] ^ block)
+            on = left > 8
+            live, at, left = live[on], at[on] + 8, left[on] - 8
+        return out
+
+    def long_spans(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """One hash for each span of any length: stretch by stretch, each mixed into what came before."""
+        out = mix64((ends - starts).astype(_U) ^ self.seed)
+        live = np.flatnonzero(ends > starts)
+        at, to = starts[live], ends[live]
+        while len(live):
+            stop = np.minimum(at + STRETCH, to)
+            out[live] = mix64(out[live] ^ self.spans(symbols, at, stop))
+            on = stop < to
+            live, at, to = live[on], stop[on], to[on]
+        return out
+
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.powers) < n:
             m = max(n, 1 << 16)
@@ -54,7 +94,7 @@ class _Family:
         return self.powers, self.unpowers
 
     def spans(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """One hash for each span [start, end) of the symbols."""
+        """One hash for each span [start, end) of the symbols, STRETCH of them at most."""
         n = len(symbols)
         powers, unpowers = self.upto(n + 1)
         sums = np.zeros(n + 1, dtype=_U)
@@ -62,6 +102,8 @@ class _Family:
         return mix64((sums[ends] - sums[starts]) * unpowers[starts] ^ (ends - starts).astype(_U))
 
 
+#: Keeps the first 0 to 8 bytes of a little-endian number.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=_U)
 FAMILIES = (_Family(11), _Family(23))
 
 
@@ -110,8 +152,7 @@ class Words:
 
     def hashes(self, family: int = 0) -> np.ndarray:
         if family not in self._hashes:
-            f = FAMILIES[family]
-            self._hashes[family] = f.spans(f.table[self.data], self.starts, self.ends)
+            self._hashes[family] = FAMILIES[family].words(self.data, self.starts, self.ends)
         return self._hashes[family]
 
     def windows(self, hashes: np.ndarray, length: int, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
