@@ -11,7 +11,7 @@ from oracle import compare, connect  # noqa: E402
 
 from tidemark import catalogue  # noqa: E402
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"  # where every rule has a row, unlike in the smallest tables
 
 
 @pytest.fixture(scope="module")

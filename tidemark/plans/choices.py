@@ -9,6 +9,7 @@ from ..functions.topic_names import with_names
 from ..functions.unicode import nfkc, plain
 from ..operators import evidence as E
 from ..operators.dedupe import distinct_topics
+from ..operators.identity import ALIASES, closure, with_identity
 from ..operators.keyed import top_per_key
 from ..operators.rounds import fold_groups
 from ..operators.store import written
@@ -127,3 +128,18 @@ def u09(t):
     x = written(pages(t).select(F.col("id").alias("key"), "region_id", "heat", F.col("name_en").alias("en"), F.col("name_ko").alias("ko"), bare("name_en").alias("en_key"), bare("name_ko").alias("ko_key"), none.alias("alias_en"), none.alias("alias_ko"), F.array("number").alias("ids")).withColumn("rank", F.struct((-F.col("heat")).alias("h"), F.col("key").alias("k"))))
     g = fold_groups(x)
     return g.join(x, "key").groupBy(F.col("founder").alias("issue")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("heat").cast("double"), 3).alias("heat"), F.array_join(F.array_sort(F.collect_set("region_id")), ",").alias("regions"))
+
+
+@query("f27_identity_rollup", f"""with recursive b as (select n_nationkey as k, {BARE.format('n_name')} as name from nation),
+walk(k, here, steps) as (select k, k, 0 from b union all select k, here - 1, steps + 1 from walk where here % 4 <> 0),
+roots as (select walk.k, b.name as identity from (select k, arg_max(here, steps) as here from walk group by 1) walk join b on b.k = walk.here)
+select identity, count(*) as n, round(sum(c_acctbal), 2) as heat from customer join roots on k = c_nationkey group by 1""")
+def f27(t):
+    """Customers by the identity of their nation, where three of four nations are an alias of the one before: chains of aliases."""
+    n = t("nation")
+    before = n.select((F.col("n_nationkey") + 1).alias("n_nationkey"), F.col("n_name").alias("name"))
+    pairs = n.filter(F.col("n_nationkey") % 4 != 0).join(before, "n_nationkey").select("name", F.col("n_name").alias("alias"))
+    known = pairs.union(n.sparkSession.createDataFrame(ALIASES, "name string, alias string"))
+    named = with_identity(n.select("n_nationkey", F.col("n_name").alias("name_en"), F.lit(None).cast("string").alias("name_ko")), closure(known))
+    x = t("customer").join(named, F.col("n_nationkey") == F.col("c_nationkey"))
+    return x.groupBy("identity").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("heat"))
