@@ -1,4 +1,4 @@
-"""Choices that depend on one another: topic dedupe, candidate pairs, merged issues."""
+"""Choices that depend on one another, and what they start from: page posts, names, title terms, identities."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from ..operators.identity import ALIASES, closure, with_identity
 from ..operators.keyed import top_per_key
 from ..operators.rounds import fold_groups
 from ..operators.store import written
+from ..sources.site_pages import RULE, posts_of
 from .relational import query
 
 #: Topics of pages for DuckDB: language folder as region, title as name, link names as keywords, long capitalised words of the title as entities.
@@ -143,3 +144,12 @@ def f27(t):
     named = with_identity(n.select("n_nationkey", F.col("n_name").alias("name_en"), F.lit(None).cast("string").alias("name_ko")), closure(known))
     x = t("customer").join(named, F.col("n_nationkey") == F.col("c_nationkey"))
     return x.groupBy("identity").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("heat"))
+
+
+@query("s17_page_posts", """with p as (select page_id, regexp_extract(url, '^[a-z]+://[^/]+') as root, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) as host, unnest(regexp_extract_all(html, '<li><a href="([^"]*)">[^<]+</a></li>', 1)) as href from pages)
+select 'example.' || regexp_extract(host, '(^|[.])example[.](com|net|org)$', 2) as source, root || href as external_id, min(page_id) as page_id from p where regexp_matches(host, '(^|[.])example[.](com|net|org)$') group by 1, 2""")
+def s17(t):
+    """Entries of the lists on all pages, by rules for three hosts."""
+    pages = t("pages")
+    rules = pages.sparkSession.createDataFrame([(h, h, "li", "a", None, None, None, None, None, None, None, None) for h in ("example.com", "example.net", "example.org")], RULE)
+    return posts_of(pages, rules).filter("error is null").select("source", "external_id", "page_id")
