@@ -24,7 +24,7 @@ def test_streamed_upsert_and_hours(spark, tmp_path):
     spark.createDataFrame([(1, "2024-01-01 00:10:00", "a"), (1, "2024-01-01 00:20:00", "b"), (2, "2024-01-01 01:00:00", "c")], "id long, ts string, v string").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("id long, ts timestamp, v string").parquet(str(tmp_path / "in"))
     windows.upsert_into(stream, str(tmp_path / "out"), ["id"], "ts", str(tmp_path / "cp")).awaitTermination()
-    assert {(r["id"], r["v"]) for r in spark.read.parquet(str(tmp_path / "out" / "v0")).collect()} == {(1, "b"), (2, "c")}
+    assert {(r["id"], r["v"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(1, "b"), (2, "c")}
     q = windows.hourly(stream, "ts", "id").writeStream.outputMode("complete").format("memory").queryName("hours").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r["id"], r["n"]) for r in spark.sql("select * from hours").collect()) == [(1, 2), (2, 1)]

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.keyed import distinct_on, upsert
+from ..operators.keyed import distinct_on
+from ..operators.store import written
 
 
 def hourly(events: DataFrame, time: str, key: str, late: str = "25 hours") -> DataFrame:
@@ -17,15 +19,28 @@ def hourly(events: DataFrame, time: str, key: str, late: str = "25 hours") -> Da
     return events.withWatermark(time, late).groupBy(F.window(time, "1 hour").alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("bucket"), key, "n")
 
 
-def upsert_into(stream: DataFrame, path: str, keys: list[str], time: str, checkpoint: str) -> StreamingQuery:
-    """Keep the latest row of each key at path/v<batch>; a batch that is run again writes the same version."""
+def upsert_into(stream: DataFrame, path: str, keys: list[str], time: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Keep the latest row of each key (of two with the same time the newer one) in the table at `path`.
+
+    The table is partitioned by `_bucket`, a hash of the keys.  A batch reads the buckets that its keys fall into,
+    `buckets` at most, and overwrites these partitions alone, so what it writes grows with what it
+    touches and no old version stays.  A batch that is run again, or was cut off between two partitions, gives
+    the same rows.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = distinct_on(batch, keys, [F.desc(time)])
-        if number:
-            old = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/v{number - 1}")
-            new = upsert(old, new, keys)
-        new.write.mode("overwrite").parquet(f"{path}/v{number}")
+        spark = batch.sparkSession
+        new = batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = [r["_bucket"] for r in new.select("_bucket").distinct().collect()]
+        if not touched:
+            return
+        try:
+            old = spark.read.schema(new.schema).parquet(path).filter(F.col("_bucket").isin(touched))
+        except AnalysisException:  # the first batch of all: there is no table yet
+            old = new.limit(0)
+        rows = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+        latest = written(distinct_on(rows, keys, [F.desc_nulls_last(time), F.desc("_new")]).drop("_new"))
+        latest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
