@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
+from ..functions.unicode import nfkc
 from ..operators.keyed import distinct_on, top_per_key, upsert
 from . import pipelines as P
 from .analysis import j18
@@ -363,10 +364,12 @@ def u06(t):
     return x.select("topic_name", F.array_join(F.transform("p", lambda p: p["region_id"]), ">").alias("path"), F.element_at("p", 1)["at"].alias("first_at"))
 
 
-@query("u11_unique_names", "with x as (select issue, trim(name) as name, row_number() over (partition by issue, lower(trim(name)) order by heat desc, id) as r, heat, id from topics) select issue, string_agg(name, '|' order by heat desc, id) as names from x where r = 1 group by 1")
+@query("u11_unique_names", "with x as (select issue, trim(name) as name, row_number() over (partition by issue, lower(trim(name)) order by created_at, id) as r, created_at, id from topics) select issue, string_agg(name, '|' order by created_at, id) as names from x where r = 1 and name <> '' group by 1")
 def u11(t):
-    x = distinct_on(t("topics").withColumn("name", F.trim("name")), ["issue", F.lower("name")], [F.desc("heat"), F.col("id")])
-    x = x.groupBy("issue").agg(F.array_sort(F.collect_list(F.struct((-F.col("heat")).alias("h"), "id", "name"))).alias("n"))
+    """Names of an issue without regard to case and width, each as it was first seen, in that order."""
+    x = t("topics").withColumn("name", F.trim(nfkc(F.col("name")))).filter("name <> ''")
+    x = distinct_on(x, ["issue", F.lower("name")], [F.col("created_at"), F.col("id")])
+    x = x.groupBy("issue").agg(F.array_sort(F.collect_list(F.struct("created_at", "id", "name"))).alias("n"))
     return x.select("issue", F.array_join(F.transform("n", lambda p: p["name"]), "|").alias("names"))
 
 
@@ -413,10 +416,16 @@ def f62(t):
 # Endpoints
 
 
-@query("q01_stats", "select (select count(*) from topics) as topics, (select count(distinct region_id) from topics) as regions, (select count(*) from sources) as sources, (select count(*) from posts where posted_at >= NOW - interval 24 hours) as posts_24h, (select max(created_at) from topics) as last_at")
+@query("q01_stats", "select (select count(*) from posts) as total_posts, (select count(*) from topics) as total_topics, (select count(*) from (select distinct scope, issue from topics)) as total_global_topics, (select count(*) from region where r_regionkey <> 3) as active_regions, (select count(*) from (select s.id from sources s join runs r on r.source_id = s.id group by 1 having max(r.started_at) >= NOW - interval 90 minutes)) as collected_sources")
 def q01(t):
-    x = t("topics").agg(_n("topics"), F.countDistinct("region_id").alias("regions"), F.max("created_at").alias("last_at"))
-    return x.join(F.broadcast(t("sources").agg(_n("sources")))).join(F.broadcast(t("posts").filter(F.col("posted_at") >= ago(24)).agg(_n("posts_24h"))))
+    """The five counts of the start page; a source counts if its last visit was within 90 minutes, a region if it is active."""
+    seen = t("runs").groupBy(F.col("source_id").alias("id")).agg(F.max("started_at").alias("at")).filter(F.col("at") >= ago(0) - F.make_interval(mins=F.lit(90)))
+    issues = t("topics").select("scope", "issue").distinct()
+    one = [t("topics").agg(_n("total_topics")), issues.agg(_n("total_global_topics")), t("region").filter("r_regionkey <> 3").agg(_n("active_regions")), t("sources").join(seen, "id", "left_semi").agg(_n("collected_sources"))]
+    out = t("posts").agg(_n("total_posts"))
+    for x in one:  # one row each
+        out = out.join(F.broadcast(x))
+    return out
 
 
 @query("q03_compare_scopes", "with c as (select lower(name) as k, round(sum(heat), 2) as heat, count(*) as n from topics where region_id = 'ASIA' and scope = 'community' group by 1), n as (select lower(name) as k, round(sum(heat), 2) as heat, count(*) as n from topics where region_id = 'ASIA' and scope = 'news' group by 1) select coalesce(c.k, n.k) as topic, c.heat as community_heat, n.heat as news_heat, case when n.k is null then 'community only' when c.k is null then 'news only' when c.heat / n.heat > 1.4 then 'community' when c.heat / n.heat < 0.7 then 'news' else 'even' end as badge from c full join n on n.k = c.k")
@@ -427,14 +436,14 @@ def q03(t, region: str = "ASIA"):
     return side("community").join(side("news"), "topic", "full_outer").select("topic", "community_heat", "news_heat", badge.alias("badge"))
 
 
-@query("q04_regions_health", "with r as (select s.region_id, count(*) as runs, count(*) filter (x.status = 'success') as ok, max(x.started_at) filter (x.status = 'success') as last_ok from sources s join runs x on x.source_id = s.id where x.started_at >= NOW - interval 24 hours group by 1) select s.region_id, count(*) as sources, max(coalesce(r.runs, 0)) as runs, max(round(r.ok / r.runs, 4)) as ok_share, max(case when r.runs is null then 'down' when r.ok / r.runs >= 0.8 then 'healthy' else 'degraded' end) as state, max(r.last_ok) as last_ok from sources s left join r on r.region_id = s.region_id group by 1")
+@query("q04_regions_health", "with snapshots as (select s.region_id, case when r.id % 2 = 0 then 'community' else 'news' end as scope, started_at as snapshot_at from runs r join sources s on s.id = source_id where status = 'success'), latest as (select region_id, max(snapshot_at) as snapshot_at from snapshots where scope = 'community' group by 1), fresh as (select * from latest where snapshot_at >= NOW - interval 1 hour) select region_id, snapshot_at, (select count(*) from fresh) as active_regions, (select count(distinct region_id) from sources) as total_regions, (select max(snapshot_at) from fresh) as latest_snapshot_at from fresh order by snapshot_at desc, region_id")
 def q04(t):
+    """Regions whose latest community snapshot is at most an hour old, with how many there are of all."""
     s = t("sources").select(F.col("id").alias("source_id"), "region_id")
-    ok = F.col("status") == "success"
-    r = t("runs").filter(F.col("started_at") >= ago(24)).join(s, "source_id").groupBy("region_id").agg(_n("runs"), F.count_if(ok).alias("ok"), F.max(F.when(ok, F.col("started_at"))).alias("last_ok"))
-    share = F.col("ok") / F.col("runs")
-    state = F.when(F.col("runs").isNull(), "down").when(share >= 0.8, "healthy").otherwise("degraded")
-    return s.groupBy("region_id").agg(_n("sources")).join(r, "region_id", "left").select("region_id", "sources", F.coalesce("runs", F.lit(0)).alias("runs"), F.round(share, 4).alias("ok_share"), state.alias("state"), "last_ok")
+    made = t("runs").filter((F.col("status") == "success") & (F.col("id") % 2 == 0)).join(s, "source_id").select("region_id", F.col("started_at").alias("snapshot_at"))
+    fresh = made.groupBy("region_id").agg(F.max("snapshot_at").alias("snapshot_at")).filter(F.col("snapshot_at") >= ago(1))
+    total = fresh.agg(_n("active_regions"), F.max("snapshot_at").alias("latest_snapshot_at")).join(F.broadcast(s.agg(F.countDistinct("region_id").alias("total_regions"))))
+    return fresh.join(F.broadcast(total)).select("region_id", "snapshot_at", "active_regions", "total_regions", "latest_snapshot_at").orderBy(F.desc("snapshot_at"), "region_id")
 
 
 @query("q06_topic_detail", "with me as (select * from topics order by heat desc, id limit 1), rel as (select t.id, t.name, t.region_id, t.heat, row_number() over (order by t.heat desc, t.id) as r from topics t, me where t.issue = me.issue and t.id <> me.id) select me.id, me.name, me.heat, (select count(distinct source_id) from topic_sources x where x.topic_id = me.id) as sources, (select count(*) from topics t where t.region_id = me.region_id and lower(t.name) = lower(me.name)) as history, (select string_agg(id, ',' order by r) from rel where r <= 8) as related from me")
