@@ -74,14 +74,16 @@ class _Family:
 
     def long_spans(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """One hash for each span of any length: stretch by stretch, each mixed into what came before."""
-        out = mix64((ends - starts).astype(_U) ^ self.seed)
-        live = np.flatnonzero(ends > starts)
-        at, to = starts[live], ends[live]
+        size = ends - starts
+        out, pieces = mix64(size.astype(_U) ^ self.seed), -(-size // STRETCH)
+        first = np.cumsum(pieces) - pieces
+        begin = np.repeat(starts, pieces) + (np.arange(int(pieces.sum())) - np.repeat(first, pieces)) * STRETCH
+        part = self.spans(symbols, begin, np.minimum(begin + STRETCH, np.repeat(ends, pieces)))
+        live, step = np.flatnonzero(pieces), 0
         while len(live):
-            stop = np.minimum(at + STRETCH, to)
-            out[live] = mix64(out[live] ^ self.spans(symbols, at, stop))
-            on = stop < to
-            live, at, to = live[on], stop[on], to[on]
+            out[live] = mix64(out[live] ^ part[first[live] + step])
+            step += 1
+            live = live[pieces[live] > step]
         return out
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
