@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analysis, choices, dashboard, endpoints, relational, reports  # noqa: F401  (each registers its queries)
+from .plans import analysis, choices, dashboard, endpoints, jobs, relational, reports  # noqa: F401  (each registers its queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

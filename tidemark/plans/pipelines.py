@@ -15,6 +15,7 @@ from ..operators import similarity as S
 from ..operators.graph import _checkpointed
 from ..operators.dedupe import distinct_topics
 from ..operators.keyed import top_per_key
+from ..operators.monitoring import excerpts
 from ..operators.rounds import dominant_pairs
 from ..operators.store import written
 
@@ -38,9 +39,9 @@ def containing(posts: DataFrame, keywords: DataFrame, block: str, key: str, hays
 
 
 def regional(posts: DataFrame, as_of: Column, scope: str = "mixed", most: int = 60, least_df: int = 2) -> DataFrame:
-    """Topics of every region: keywords, clusters, names, heat with bursts, sentiment, rank.
+    """Topics of every region: keywords, clusters, names, heat with bursts, sentiment, excerpts, rank.
 
-    posts: region_id, id, source_id, title, views, likes, comments, posted_at.
+    posts: region_id, id, source_id, title, views, likes, comments, posted_at, and body_preview if there is one.
     """
     p = with_terms(posts).withColumn("weight", scoring.engagement_weight(F.col("views"), F.col("likes"), F.col("comments"), F.lit(0)))
     p = _checkpointed(p)  # read by five branches
@@ -66,9 +67,11 @@ def regional(posts: DataFrame, as_of: Column, scope: str = "mixed", most: int =
     boost = grown.join(burst, ["region_id", "keyword"]).groupBy("region_id", "cluster").agg(F.max("boost").alias("boost"), F.max("z").alias("burst_z"))
     words = grown.groupBy("region_id", "cluster").agg(F.array_sort(F.collect_set("keyword")).alias("keywords"))
 
-    x = total.join(names, ["region_id", "cluster"]).join(words, ["region_id", "cluster"]).join(boost, ["region_id", "cluster"], "left")
+    shown = excerpts(of if "body_preview" in of.columns else of.withColumn("body_preview", F.lit(None).cast("string")), ["region_id", "cluster"])
+
+    x = total.join(names, ["region_id", "cluster"]).join(words, ["region_id", "cluster"]).join(boost, ["region_id", "cluster"], "left").join(shown, ["region_id", "cluster"], "left")
     base = scoring.news_fallback(F.col("base") * scoring.diversity_multiplier(F.col("sources")), F.col("post_count"), F.lit(scope))
-    x = x.select("region_id", F.lit(scope).alias("scope"), "name", "keywords", F.round(base * F.coalesce("boost", F.lit(1.0)), 4).alias("heat"), F.round("burst_z", 4).alias("burst_z"), F.round("mood", 3).alias("sentiment"), "post_count", "total_views", "total_likes", "total_comments", "sources", F.round("dominant", 4).alias("dominant_share"), F.round(F.col("sources") / F.log(F.col("post_count") + F.lit(2.718281828459045)), 4).alias("diversity"), "first_at")
+    x = x.select("region_id", F.lit(scope).alias("scope"), "name", "keywords", F.round(base * F.coalesce("boost", F.lit(1.0)), 4).alias("heat"), F.round("burst_z", 4).alias("burst_z"), F.round("mood", 3).alias("sentiment"), "post_count", "total_views", "total_likes", "total_comments", "sources", F.round("dominant", 4).alias("dominant_share"), F.round(F.col("sources") / F.log(F.col("post_count") + F.lit(2.718281828459045)), 4).alias("diversity"), "first_at", "excerpts")
     # Of topics that say the same by name or keywords the hotter stays.
     none = F.lit(None).cast("string")
     x = written(x.withColumns({"_key": F.concat_ws("\u0001", "region_id", "name", F.array_join("keywords", "\u0001")), "name_ko": none, "name_en": F.col("name"), "canonical": none, "entities": F.lit(None).cast("array<string>")}))
