@@ -33,9 +33,10 @@ def w12_names(t):
 bags as (select region_id, said, sum(greatest(0, (21 - rank) / 20)) as weight from line group by 1, 2),
 texts as (select distinct region_id, name, list_filter(string_split(regexp_replace(lower(name || ' ' || split_part(name, ' ', -1)), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: len(w) >= 2) as w from topics),
 met as (select x.region_id, x.name, sum(weight) as weight from texts x join bags b on b.region_id = x.region_id, lateral (select list_filter(string_split(regexp_replace(b.said, '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: len(w) >= 2) as v) where list_sum(list_transform(v, lambda e: len(list_filter(x.w, lambda f: f = e)))) / (sqrt(list_sum(list_transform(x.w, lambda e: len(list_filter(x.w, lambda f: f = e))))) * sqrt(list_sum(list_transform(v, lambda e: len(list_filter(v, lambda f: f = e)))))) >= 0.8 group by 1, 2)
-select id, round(heat * case when weight > 0 then least(1 + 0.08 * weight, 1.6) else 1 end, 2) as heat from topics left join met using (region_id, name)""")
+select id, round(case when weight > 0 then least(1 + 0.08 * weight, 1.6) else 1 end, 3) as boost from topics left join met using (region_id, name)""")
 def f50(t):
     where = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
     s = t("customer").join(where, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("r_name").alias("region_id"), (F.col("c_custkey") % 2000 + 1).cast("int").alias("rank"), F.concat_ws(" ", "r_name", "c_mktsegment").alias("headline"))
     x = t("topics").select("id", "region_id", F.col("name").alias("name_en"), F.lit(None).cast("string").alias("name_ko"), F.array(F.element_at(F.split("name", " "), -1)).alias("keywords"), "heat")
-    return M.portal_boosted(x, s).select("id", F.round("heat", 2).alias("heat"))
+    # The factor is a multiple of 0.004, so unlike the heat it has no ties for two engines to round in two ways.
+    return M.portal_boosted(x.withColumn("before", F.col("heat")), s).select("id", F.round(F.col("heat") / F.col("before"), 3).alias("boost"))
