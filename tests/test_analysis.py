@@ -70,6 +70,28 @@ def test_near_vectors_like_all_pairs(spark):
     assert {(r.key_l, r.key_r) for r in got.collect()} == want
 
 
+def test_near_vectors_are_sent_to_few_parts(spark):
+    """Many small cells travel together: what is sent grows with the vectors, not with their square."""
+    rng = random.Random(4)
+    sent = {}
+    for n in (150, 600):
+        rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(n)]
+        dealt, met = S._dealt, []
+        try:
+            S._dealt = lambda *x, dealt=dealt, met=met: met.append(dealt(*x)) or met[0]
+            got = S.near_vectors(spark.createDataFrame(rows, "id int, v array<double>"), "id", "v", 0.5, block=8)
+            found = {(r.key_l, r.key_r) for r in got.collect()}
+        finally:
+            S._dealt = dealt
+        cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+        assert found == {(i, j) for i, a in rows for j, b in rows if i < j and round(cos(a, b), 6) >= 0.5}
+        sent[n] = met[0].count()
+    assert sent[600] <= 4.5 * sent[150] and sent[600] <= 12 * 600
+    # Large cells in parts of a few vectors give the same pairs.
+    got = S.near_vectors(spark.createDataFrame(rows, "id int, v array<double>"), "id", "v", 0.5, block=200, held_bytes=8 * 8 * 50)
+    assert {(r.key_l, r.key_r) for r in got.collect()} == found
+
+
 def test_near_vectors_in_cells_and_blocks_like_all_pairs(spark):
     """Clusters far apart, one of them larger than a block, copies, vectors of another size, an empty and a null component."""
     rng = random.Random(2)
