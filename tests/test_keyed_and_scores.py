@@ -49,3 +49,33 @@ def test_as_of_and_token_pairs(spark):
     assert {tuple(r) for r in latest_before(points, ["k"], "t", "v", F.lit(2), "x").collect()} == {("a", 5.0), ("b", None)}
     rows = spark.createDataFrame([(1, ["x", "y"]), (2, ["y", "x"]), (3, ["z"])], "id long, w array<string>")
     assert {tuple(r) for r in token_pairs(rows, rows, "id", "w").filter("key_l < key_r").collect()} == {(1, 2, 2)}
+
+
+def test_components_of_chains_move_a_few_times_their_edges(spark):
+    """Chains in order, in any order, a star, a loop, a null: least nodes as by union-find, and rounds that shrink."""
+    import random
+
+    from tidemark.operators import graph
+
+    rng = random.Random(6)
+    ids = rng.sample(range(10**6), 2000)
+    edges = [(i, i + 1) for i in range(2_000_000, 2_000_600)] + [(ids[i], ids[i + 1]) for i in range(1200) if i % 12] + [(ids[1500], ids[i]) for i in range(1501, 1900)] + [(5_000_000, 5_000_000), (5_000_001, None)]
+    top = {}
+
+    def find(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+
+    for a, b in edges:
+        if b is not None:
+            x, y = find(a), find(b)
+            top[max(x, y)] = min(x, y)
+    rows, plain = [], graph.written
+    try:
+        graph.written = lambda df: rows.append((x := plain(df)).count()) or x
+        got = graph.connected(spark.createDataFrame(edges, "a long, b long")).collect()
+    finally:
+        graph.written = plain
+    assert len(got) == len(top) and {r.node: r.component for r in got} == {x: find(x) for x in top}
+    assert sum(rows) <= 9 * len(edges)
