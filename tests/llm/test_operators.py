@@ -62,6 +62,30 @@ def test_exact_dedup(docs, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
+def test_exact_dedup_moves_texts_of_hits_only(spark):
+    rows = [(i, "".join(hashlib.sha256(f"{i % 1990}:{k}".encode()).hexdigest() for k in range(64))) for i in range(2000)]  # 8 MB, ten texts twice
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = docs.withColumn("text", F.when(F.col("doc_id") >= 1995, F.concat(F.lit(" "), F.col("text"))).otherwise(F.col("text")))
+    source = exact_dedup.materialise(exact_dedup.feed(docs, "doc_id", "text", 256))
+    state = exact_dedup.run_state(source)
+
+    def moved():
+        of = spark.sparkContext
+        stages = of._jsc.sc().statusStore().stageList(None, False, False, of._gateway.new_array(of._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = moved()
+        assert exact_dedup.differing(docs, state, 2000, "text", 256).count() == 0
+        assert 0 < moved() - before < 400_000
+        # Cut to one byte, the digest of each hit stands for unlike texts, and all of them are told.
+        short = state.withColumn("digest", F.substring("digest", 1, 1))
+        assert exact_dedup.differing(docs, short, 2000, "text", 8).count() == short.filter("group_size > 1").select("digest").distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_substring_dedup(docs, empty):
     rows = sorted(corpus(), key=lambda r: (r[0] is not None, r[0] or 0))
     seen, want = set(), collections.Counter()
