@@ -62,6 +62,22 @@ def test_dominant_pairs(spark):
     assert rounds.dominant_pairs(table.limit(0), "block", "l", "r", [("score", False)]).count() == 0
 
 
+def test_dominant_pairs_that_tie(spark, monkeypatch):
+    r = random.Random(4)
+    # In "all", every pair ties; in "some" and None, many do, but each row lacks some; "days" has groups that tie only within.
+    pairs = [("all", i, j, 1.0, None, 0) for i in range(40) for j in range(30)]
+    pairs += [(b, i, j, r.choice([0.5, 0.6]), None, r.randint(0, 1)) for b in ("some", None) for i in range(14) for j in range(14) if r.random() < 0.6]
+    pairs += [("days", i, 100 - j, 0.9, 0.5, abs(i % 3 - j % 4)) for i in range(24) for j in range(20)]
+    table = spark.createDataFrame(pairs, "block string, l long, r long, score double, cosine double, lag long")
+    order = [("score", False), ("cosine", False), ("lag", True)]
+    got = rounds.dominant_pairs(table, "block", "l", "r", order)
+    assert sorted((str(x["block"]), x["l"], x["r"]) for x in got.collect()) == sorted((str(b), l, x) for b, l, x in loop_pairs(pairs))
+    calls, kept = [], rounds.written
+    monkeypatch.setattr(rounds, "written", lambda *a: calls.append(1) or kept(*a))
+    tied = rounds.dominant_pairs(table.filter("block in ('all', 'days')"), "block", "l", "r", order)
+    assert tied.count() == 50 and len(calls) <= 20  # a loop in rounds of one pair each would write over 30 times
+
+
 ALIAS = {"aa": "root", "root": "root"}
 
 
