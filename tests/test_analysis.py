@@ -267,3 +267,18 @@ def test_best_terms_like_the_plain_way(spark):
             assert want or share == 0.999
             for first in (None, 6):
                 assert run(K.best_terms, d, share, first) == want, (share, first, len(more))
+
+
+def test_scope_overlaps_of_more_than_4500_topics(spark, tmp_path):
+    """A cold topic far down its side still finds its partner."""
+    from tidemark import catalogue
+
+    n, write = 4600, lambda rows, names, t: spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/{t}.parquet")
+    write([(0, "AFRICA")], "r_regionkey int, r_name string", "region")
+    write([(0, "ALGERIA", 0)], "n_nationkey int, n_name string, n_regionkey int", "nation")
+    write([(1, 0, "BUILDING"), (2, 0, "MACHINERY")], "c_custkey bigint, c_nationkey int, c_mktsegment string", "customer")
+    rows = [(i, 1, "O", 1000.0 + i) for i in range(1, n + 1)] + [(n + 1, 2, "O", 1.0), (n + 2, 2, "F", 1.0)]
+    orders = spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double")
+    orders.withColumn("o_orderdate", F.lit("2001-01-01").cast("timestamp_ntz")).withColumn("o_orderpriority", F.lit("1-URGENT")).write.parquet(f"{tmp_path}/orders.parquet")
+    got = catalogue.queries()["g03_scope_overlaps"](spark, str(tmp_path)).collect()
+    assert [(r["key_l"], r["key_r"]) for r in got] == [(n + 1, n + 2)]
