@@ -282,3 +282,36 @@ def test_scope_overlaps_of_more_than_4500_topics(spark, tmp_path):
     orders.withColumn("o_orderdate", F.lit("2001-01-01").cast("timestamp_ntz")).withColumn("o_orderpriority", F.lit("1-URGENT")).write.parquet(f"{tmp_path}/orders.parquet")
     got = catalogue.queries()["g03_scope_overlaps"](spark, str(tmp_path)).collect()
     assert [(r["key_l"], r["key_r"]) for r in got] == [(n + 1, n + 2)]
+
+
+def test_best_ngrams_like_the_plain_way(spark, monkeypatch):
+    """Terms hashed and counted in Arrow batches: the same best terms as by strings, whichever share of a post is read at first."""
+    from tidemark.functions import titles
+    from tidemark.operators import ngrams
+
+    rng = random.Random(3)
+    vocab = ["alpha", "beta", "be-ta", "gam", "gamma", "2x", "2xy", "delta.v", "東京", "東京都", "abc", "abcd"] + [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(60)]
+    rows = [(rng.choice("abc"), i, [rng.choice(vocab[: rng.choice([4, 15, 72])]) for _ in range(rng.choice([0, 1, 3, 8, 30, 120]))], rng.choice([1.0, 2.5, 0.0])) for i in range(80)]
+    rows += [("d", 1000, ["solo", "two", "three"], 1.0), ("e", 1001, [], 1.0), (None, 1002, ["alpha", "beta"], 1.0)]
+    p = spark.createDataFrame(rows, "b string, id long, words array<string>, w double").cache()
+    told = lambda x: sorted((r["b"], r["id"], r["place"], r["term"], round(r["score"], 9), r["df"]) for r in x.collect())
+    plain = told(K._plain_best(p.filter("b is not null"), "b", "id", F.concat("words", titles.phrases(F.col("words"), F.col("b"))), F.col("w"), K.phrase_boost, 40, 0.02))
+    monkeypatch.setattr(ngrams, "PLACE", 400)
+    assert plain == told(ngrams.best_ngrams(p, "b", "id", "words", F.col("w")))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert plain == told(ngrams.best_ngrams(p, "b", "id", "words", F.col("w"), first=41))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_tokens_by_the_short_way_like_the_long_one(spark, monkeypatch):
+    """Plain words and long titles take short ways; with these shut the tokens are the same."""
+    from tidemark.functions import titles
+
+    said = ["  [단독] 충격! BTS 신곡 공개 - YouTube #shorts", "lol lolz WWW www1 2024-01-05 a-b--c x.y. don't" + " word" * 40 + " !!!  ", "x " * 50 + "end!!!\r\n", "東京で速報 v2 a1 é für naïve" + " word" * 30 + "…©", None, " ~ " * 60, "ends" + " !  " * 40, "word " * 30 + "-" * 80]
+    d = spark.createDataFrame([(t, r, "youtube_a") for t in said for r in ("kr", None)], "t string, r string, s string")
+    short = d.select(titles.tokens(F.col("t"), F.col("r"), F.col("s"))).collect()
+    for name, value in (("SIMPLE", "^(?!)"), ("SHORT", "^(?!)"), ("TAIL", 1 << 20)):
+        monkeypatch.setattr(titles, name, value)
+    assert short == d.select(titles.tokens(F.col("t"), F.col("r"), F.col("s"))).collect()

@@ -37,7 +37,9 @@ SCRIPTS = {"kr": ("[\\p{IsHangul}]", 1.4, 0.7), "jp": ("[\\p{IsHiragana}\\p{IsKa
 
 #: What stands at the edges of titles without meaning.
 EDGE = "[" + "".join(f"\\x{{{a}}}-\\x{{{b}}}" for a, b in zip(EMOJI[::2], EMOJI[1::2], strict=True)) + "\\s~!?.:,;|/\\-·•…]+"
-ROUNDS = 6
+ROUNDS, TAIL = 6, 64
+#: Tokens that need no tidying, and parts of texts that are none.
+SIMPLE, SHORT = "^(?!(?:img|jpg|jpeg|png|gif|webp|fyp|lol+|lmao|haha+|www+)\\z)[a-z]{3,40}\\z", "^[a-z]{0,2}\\z"
 
 
 def clean_title(title: Column, source: Column | None = None) -> Column:
@@ -59,7 +61,15 @@ def clean_title(title: Column, source: Column | None = None) -> Column:
 
 
 def _edges(x: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(x, f"^{EDGE}", ""), f"{EDGE}$", "")
+    def right(t: Column) -> Column:
+        # Of a long text only the end is searched, if what is to go surely begins there (before the last line end, in which $ may match).
+        cut = lambda c: F.regexp_replace(c, f"{EDGE}$", "")
+        end = F.substring(t, -TAIL, TAIL)
+        short = F.concat(F.substring(t, F.lit(1), F.length(t) - TAIL), cut(end))
+        return F.when((F.length(t) > TAIL) & F.substring(end, 1, TAIL - 2).rlike("[A-Za-z0-9]"), short).otherwise(cut(t))
+
+    # A one-element array binds what is used more than once.
+    return F.get(F.transform(F.array(F.regexp_replace(x, f"^{EDGE}", "")), right), F.lit(0))
 
 
 def stopped(token: Column, region: Column) -> Column:
@@ -76,16 +86,18 @@ def tokens(title: Column, region: Column, source: Column | None = None) -> Colum
     x = F.lower(clean_title(title, source) if source is not None else nfkc(title))
     x = F.regexp_replace(x, "https?://\\S+|&[a-z0-9#]+;|[\u200b-\u200d\ufeff#@]", " ")
     parts = F.split(x, "[\\s,.;:!?()\\[\\]{}\"'`~…|\\\\/<>+=*_]+")
-    runs = F.flatten(F.transform(parts, lambda p: F.regexp_extract_all(p, F.lit("[\\p{IsHangul}]+|[\\p{IsHan}]+|[\\p{IsHiragana}]+|[\\p{IsKatakana}]+|[a-z0-9][a-z0-9._-]*"), 0)))
+    runs = lambda p: F.regexp_extract_all(p, F.lit("[\\p{IsHangul}]+|[\\p{IsHan}]+|[\\p{IsHiragana}]+|[\\p{IsKatakana}]+|[a-z0-9][a-z0-9._-]*"), 0)
     tidy = lambda t: F.regexp_replace(F.regexp_replace(t, "[^\\p{L}\\p{N}]+$", ""), "-{2,}", "-")
     stem = lambda t: F.regexp_replace(t, f"^([\\p{{IsHangul}}]{{2,}}?)(?:{'|'.join(ENDINGS)})$", "$1")
-    runs = F.transform(runs, lambda t: stem(tidy(t)))
 
     def keep(t: Column) -> Column:
         n = F.length(F.regexp_replace(t, "[^\\p{L}\\p{N}]", ""))
         return (n >= F.when(t.rlike("^[a-z]"), F.lit(3)).otherwise(F.lit(2))) & (n <= 40) & ~t.rlike(NOISE) & ~stopped(t, region)
 
-    return F.filter(runs, keep)
+    # Plain lower-case words, most of a text, take a short way (no region's own stop words are among them).
+    none = F.array().cast("array<string>")
+    words = lambda p: F.filter(F.transform(runs(p), lambda t: stem(tidy(t))), keep)
+    return F.flatten(F.transform(parts, lambda p: F.when(p.rlike(SIMPLE), F.when(p.isin(STOP), none).otherwise(F.array(p))).when(p.rlike(SHORT), none).otherwise(words(p))))
 
 
 def phrases(words: Column, region: Column, low: int = 2, high: int = 4) -> Column:
